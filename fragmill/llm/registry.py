@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, mixing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_source_mix": mixing.query,
+        "op6_risk_rules": quality.query,
         "op8_byte_bpe": bpe.query,
     }
 
