@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality
+from . import bpe, mixing, phrases, quality, shingle_join, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_source_mix": mixing.query,
         "op6_risk_rules": quality.query,
+        "op7_suffix_dedup": suffixes.query,
         "op8_byte_bpe": bpe.query,
+        "op9_shingle_join": shingle_join.query,
+        "op10_phrase_dedup": phrases.query,
     }
 
 
