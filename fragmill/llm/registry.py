@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, phrases, quality, shingle_join, suffixes
+from . import bpe, mixing, phrases, pii, quality, shingle_join, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_surrogates": pii.query,
         "op5_source_mix": mixing.query,
         "op6_risk_rules": quality.query,
         "op7_suffix_dedup": suffixes.query,
