@@ -39,6 +39,15 @@ FEMALE = ["Anna", "Clara", "Elena", "Julia", "Laura", "Maria", "Nina", "Sofia"]
 MALE = ["Adam", "David", "Felix", "Jonas", "Lukas", "Martin", "Oscar", "Peter"]
 
 
+def partial_step(step, r: int):
+    """A function of one argument: Spark counts a lambda's parameters, defaults too."""
+    return lambda x: step(x, r)
+
+
+def _equals(k: str):
+    return lambda x: x == k
+
+
 def kind(e: Column) -> Column:
     out = F.lit("name")
     for name in ("secret", "ip", "phone", "ssn", "card", "email"):
@@ -70,7 +79,7 @@ def _permuted(e: Column, key: str, movable) -> Column:
         def shuffled(x: Column) -> Column:
             # One symbol is a network of one half only: shifted by the key alone.
             for r in range(ROUNDS):
-                x = let(x, lambda y, r=r: step(y, r))
+                x = let(x, partial_step(step, r))
             return x
 
         drawn = let(F.when(F.size(places) > 0, shuffled(places)).otherwise(places), lambda s: F.map_from_arrays(F.transform(s, lambda c: c["i"]), F.transform(s, lambda c: c["v"])))
@@ -107,7 +116,7 @@ def _ip(e: Column, key: str) -> Column:
 
     x = let(octets, lambda o: F.array(o[0] * 256 + o[1], o[2] * 256 + o[3]))
     for r in range(ROUNDS):
-        x = let(x, lambda y, r=r: step(y, r))
+        x = let(x, partial_step(step, r))
     return let(x, lambda y: F.concat_ws(".", F.floor(y[0] / 256), y[0] % 256, F.floor(y[1] / 256), y[1] % 256))
 
 
@@ -169,4 +178,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = docs.select("doc_id", "text", entities(F.col("text")).alias("found"))
     kinds = found.select("doc_id", replaced(F.col("text"), F.col("found")).alias("text"), F.size("found").cast("long").alias("n_entities"), F.transform("found", kind).alias("kinds"))
-    return kinds.select("doc_id", "n_entities", *[F.size(F.filter("kinds", lambda x, k=k: x == k)).cast("long").alias(f"n_{k}") for k in KINDS], "text")
+    return kinds.select("doc_id", "n_entities", *[F.size(F.filter("kinds", _equals(k))).cast("long").alias(f"n_{k}") for k in KINDS], "text")
