@@ -1,15 +1,162 @@
-"""The engine's registered queries and their oracle SQL."""
+"""The engine's registered queries and their oracle SQL, over spectra made from the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fragmill.functions import metrics
+from fragmill.operators import prepare, search
+from fragmill.sources import fixtures
+
+QUERIES = 20
+
+
+def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(normalised peaks, spectra, peaks of the query spectra)."""
+    peaks = prepare.normalise(fixtures.event_peaks(spark, sf_dir))
+    return peaks, fixtures.event_spectra(spark, sf_dir), peaks.where(F.col("row") < QUERIES).withColumnRenamed("row", "query_id")
+
+
+def _asked(spectra: DataFrame, window: bool = False) -> DataFrame:
+    center = F.col("precursor_mz") if window else F.lit(None).cast("double")
+    return spectra.where(F.col("row") < QUERIES).select(F.col("row").alias("query_id"), F.col("ion_mode").alias("q_mode"), F.col("external_id").alias("exclude_id"), center.alias("pw_center"), F.lit(20.0).alias("pw_tol"))
+
+
+def _hits(spark: SparkSession, sf_dir: str, policy: str = "any", min_matched: int = 1, window: bool = False) -> DataFrame:
+    peaks, spectra, q = _library(spark, sf_dir)
+    return search.search(_asked(spectra, window), q, peaks, spectra, policy, min_matched)
+
+
+def _shown(hits: DataFrame, *more: str) -> DataFrame:
+    return hits.select("query_id", *more, "external_id", "spectrum_index", F.round("score", 9).alias("score"), F.col("n_matched").cast("long").alias("n_matched"))
+
+
+def _top(**how):
+    return lambda spark, sf_dir: _shown(search.top_k(_hits(spark, sf_dir, **how), 10), "rank")
+
+
+def _over(least: float):
+    return lambda spark, sf_dir: _shown(search.threshold(_hits(spark, sf_dir), least))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks, _, q = _library(spark, sf_dir)
+    return search.edges(q, peaks)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks, spectra, _ = _library(spark, sf_dir)
+    return prepare.members(spectra, prepare.cells(peaks))
+
+
+def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.envelopes(_library(spark, sf_dir)[0], _members(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks, _, q = _library(spark, sf_dir)
+    return _rounded(search.binned(q, peaks), "score")
+
+
+def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks, _, q = _library(spark, sf_dir)
+    bound = search.spectrum_bounds(search.edges(q, peaks)).select("query_id", "row", (F.col("bound") >= 0.1).alias("said"))
+    exact = search.scores(search.edges(q, peaks)).select("query_id", "row", (F.col("score") >= 0.1).alias("truth"))
+    return _rounded(metrics.confusion(exact.join(bound, ["query_id", "row"]), "truth", "said"), "precision", "recall", "f1", "accuracy")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "search_topk": _top(),
+        "search_topk_exact_mode": _top(policy="exact"),
+        "search_topk_include_unknown": _top(policy="include_unknown"),
+        "search_topk_window": _top(window=True),
+        "search_min_matched": _top(min_matched=3),
+        "search_exhaustive": lambda s, d: _shown(_hits(s, d, min_matched=0)),
+        "search_threshold": _over(0.1),
+        "tolerance_edges": lambda s, d: _rounded(_edges(s, d), "w"),
+        "spectrum_bounds": lambda s, d: _rounded(search.spectrum_bounds(_edges(s, d)), "bound"),
+        "tree_bounds": lambda s, d: _rounded(search.tree_bounds(_library(s, d)[2], _envelopes(s, d)), "bound"),
+        "normalise": lambda s, d: _rounded(_library(s, d)[0], "v", "norm"),
+        "clean": lambda s, d: _rounded(prepare.clean(fixtures.event_peaks(s, d), (50.0, 95.0), 0.01, 40, 3), "intensity"),
+        "cells": lambda s, d: _rounded(prepare.cells(_library(s, d)[0]), "energy"),
+        "index_members": _members,
+        "index_trees": lambda s, d: prepare.trees(_members(s, d)),
+        "tree_envelopes": lambda s, d: _rounded(_envelopes(s, d), "amp"),
+        "binned_scores": _binned,
+        "bound_confusion": _confusion,
+        "latency_stats": lambda s, d: _rounded(metrics.latency(s.read.parquet(f"{d}/events.parquet"), "value"), "mean", "std", "p50", "p95", "p99"),
+        "power_law": lambda s, d: _rounded(metrics.power_law(s.read.parquet(f"{d}/lineitem.parquet"), "l_quantity", "l_extendedprice"), "slope", "intercept", "r2"),
+    }
+
+
+_BASE = """with recursive peaks as (
+    select user_id as row, (row_number() over (partition by user_id order by mass, event_id) - 1)::int as peak_id, mass, intensity
+    from (select *, 50.0::double + ((event_id * 7919) % 50000) / 1000.0::double as mass, greatest(value, 0.0::double) as intensity from events)),
+norms as (select row, sqrt(sum(intensity * intensity)) as norm from peaks group by row),
+lib as (select row, peak_id, mass, case when norm > 0 then intensity / norm else 0 end as v, norm from peaks join norms using (row)),
+spectra as (select distinct user_id as row, 'U' || lpad(user_id::varchar, 6, '0') as external_id,
+    case when user_id % 17 <> 0 then 100.0::double + user_id * 0.5::double end as precursor_mz, ['positive', 'negative', 'unknown'][user_id % 3 + 1] as ion_mode from events),
+edges as (select q.row as query_id, l.row, q.peak_id as q_peak, l.peak_id as l_peak, q.v * l.v as w
+    from lib q join lib l on l.mass between q.mass - 0.02::double and q.mass + 0.02::double where q.row < 20 and q.v > 0 and l.v > 0),
+ranked as (select *, row_number() over (partition by query_id, row order by w desc, q_peak, l_peak) as k from edges),
+rounds as (select query_id, row, q_peak, l_peak, w, k, false as ok from ranked
+    union all
+    select query_id, row, q_peak, l_peak, w, k, k = min(k) over (partition by query_id, row, q_peak) and k = min(k) over (partition by query_id, row, l_peak)
+    from (select *, bool_or(ok) over (partition by query_id, row, q_peak) or bool_or(ok) over (partition by query_id, row, l_peak) as dead from rounds) where not dead),
+scored as (select query_id, row, case when abs(sum(w) - 1) <= 1e-12 or sum(w) > 1 then 1.0 else sum(w) end as score, count(*) as n_matched from rounds where ok group by all),
+live as (select * from spectra s where exists (select 1 from lib where lib.row = s.row and v > 0)),
+members as (select row, external_id, ion_mode, (row_number() over (partition by ion_mode order by precursor_mz nulls last, external_id, row) - 1) // 64 as tree_id, precursor_mz from live),
+envelopes as (select ion_mode, tree_id, floor((mass + 1e-12) / 0.02::double)::bigint as cell, max(v) * (1 + 1e-12::double) as amp from lib join members using (row) where v > 0 group by all),
+bounds as (select query_id, row, sum(w) * (1 + 1e-12::double) as bound from (select query_id, row, q_peak, max(w) as w from edges group by all) group by all)
+"""
+_PAIRS = """select q.row as query_id, s.external_id, s.row as spectrum_index, round(coalesce(x.score, 0), 9) as score, coalesce(x.n_matched, 0) as n_matched
+from spectra q join spectra s on q.row < 20 and q.row <> s.row {join} scored x on x.query_id = q.row and x.row = s.row where {where}"""
+
+
+def _sql_top(where: str = "true") -> str:
+    pairs = _PAIRS.format(join="join", where=where)
+    return f"{_BASE} select * from (select query_id, row_number() over (partition by query_id order by score desc, external_id, spectrum_index) as rank, external_id, spectrum_index, score, n_matched from ({pairs})) where rank <= 10"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "search_topk": _sql_top(),
+        "search_topk_exact_mode": _sql_top("s.ion_mode = q.ion_mode"),
+        "search_topk_include_unknown": _sql_top("s.ion_mode = q.ion_mode or s.ion_mode = 'unknown'"),
+        "search_topk_window": _sql_top("q.precursor_mz is null or coalesce(abs(s.precursor_mz - q.precursor_mz) <= 20, false)"),
+        "search_min_matched": _sql_top("x.n_matched >= 3"),
+        "search_exhaustive": _BASE + _PAIRS.format(join="left join", where="true"),
+        "search_threshold": _BASE + _PAIRS.format(join="join", where="x.score >= 0.1::double - 1e-12"),
+        "tolerance_edges": _BASE + "select query_id, row, q_peak, l_peak, round(w, 9) as w from edges",
+        "spectrum_bounds": _BASE + "select query_id, row, round(bound, 9) as bound from bounds",
+        "tree_bounds": _BASE + """select query_id, ion_mode, tree_id, round(sum(b) * (1 + 1e-12::double), 9) as bound from (
+            select q.row as query_id, e.ion_mode, e.tree_id, q.peak_id, max(q.v * e.amp) as b from lib q join envelopes e
+            on e.cell between floor((q.mass - 0.02::double) / 0.02::double) - 1 and floor((q.mass + 0.02::double) / 0.02::double) + 1 where q.row < 20 and q.v > 0 group by all) group by all""",
+        "normalise": _BASE + "select row, peak_id, mass, round(v, 9) as v, round(norm, 9) as norm from lib",
+        "clean": _BASE + """, a as (select *, max(intensity) over (partition by row) as top from peaks where mass between 50 and 95),
+            b as (select *, row_number() over (partition by row order by intensity desc, mass, peak_id) as r from a where intensity >= 0.01::double * top),
+            c as (select *, count(*) over (partition by row) as n from b where r <= 40)
+            select row, (row_number() over (partition by row order by mass, peak_id) - 1)::int as peak_id, mass, round(intensity / top, 9) as intensity from c where n >= 3""",
+        "cells": _BASE + "select row, floor((mass + 1e-12) / 0.02::double)::bigint as cell, round(sum(v * v), 9) as energy from lib group by all having sum(v * v) > 0",
+        "index_members": _BASE + "select * from members",
+        "index_trees": _BASE + "select ion_mode, tree_id, min(precursor_mz) as prec_min, max(precursor_mz) as prec_max, count(*) as n from members group by all",
+        "tree_envelopes": _BASE + "select ion_mode, tree_id, cell, round(amp, 9) as amp from envelopes",
+        "binned_scores": _BASE + """, bins as (select row, floor(mass / 0.001::double + 0.5)::bigint as bin, v from lib),
+            lb as (select row, bin, sum(v) as v, count(*) as c from bins group by all),
+            qb as (select row as query_id, bin + d as bin, sum(v) as u from bins, range(-20, 21) t(d) where row < 20 group by all)
+            select query_id, row, round(least(sum(u * v), 1.0::double), 9) as score, sum(c)::bigint as n_matched from qb join lb using (bin) group by all""",
+        "bound_confusion": _BASE + """, n as (select count_if(score >= 0.1 and bound >= 0.1) as tp, count_if(score < 0.1 and bound >= 0.1) as fp, count_if(score >= 0.1 and bound < 0.1) as fn,
+            count_if(score < 0.1 and bound < 0.1) as tn from scored join bounds using (query_id, row))
+            select tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn::bigint as tn, round(case when tp + fp > 0 then tp / (tp + fp) else 1 end, 9) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 1 end, 9) as recall,
+            round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 9) as f1, round((tp + tn) / (tp + fp + fn + tn), 9) as accuracy from n""",
+        "latency_stats": "select round(avg(value), 9) as mean, round(stddev_pop(value), 9) as std, round(quantile_cont(value, 0.5), 9) as p50, round(quantile_cont(value, 0.95), 9) as p95, round(quantile_cont(value, 0.99), 9) as p99, min(value) as least, max(value) as most from events",
+        "power_law": "select round(regr_slope(log10(l_extendedprice), log10(l_quantity)), 9) as slope, round(regr_intercept(log10(l_extendedprice), log10(l_quantity)), 9) as intercept, round(regr_r2(log10(l_extendedprice), log10(l_quantity)), 9) as r2 from lineitem",
+    }
