@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, phrases, pii, quality, shingle_join, suffixes
+from . import bpe, licenses, mixing, order_minhash, phrases, pii, ppm, quality, shingle_join, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.query,
+        "op2_order_minhash": order_minhash.query,
         "op3_surrogates": pii.query,
+        "op4_ppm": ppm.query,
         "op5_source_mix": mixing.query,
         "op6_risk_rules": quality.query,
         "op7_suffix_dedup": suffixes.query,
