@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, documents, mix, rolling
+from .common import U64, cut, documents, drop, mix, rolling
 from .components import components
 
 K, LEVEL = 5, 75
@@ -81,18 +81,27 @@ def _hashes(key: pa.Array, sets: list[np.ndarray]) -> dict:
     return {"s": pa.array(map(_name, sets), pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "tokens": _lists(sets)}
 
 
-def _sketch(texts: DataFrame) -> np.ndarray:
-    """How common tokens are: the binary logarithm of a hashed count. SKETCH counters, summed by Spark."""
+def _first_pass(texts: DataFrame) -> DataFrame:
+    """doc_id, s, n, mins of each row; and for each task a row of n = -1 whose mins are the sketch's counters (place << 32 | count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for t in batch.column(1).to_pylist():
-                counts += np.bincount((shingles(t) % U64(SKETCH)).astype(np.int64), minlength=SKETCH)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                counts += np.bincount((np.concatenate(sets) & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                yield pa.RecordBatch.from_pydict(_named(part.column(0), sets))
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"i": at, "n": counts[at]})
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "s": pa.array([None], pa.int64()), "n": pa.array([-1], pa.int64()), "mins": _lists([((at << 32) | np.minimum(counts[at], (1 << 32) - 1)).astype(U64)])})
 
-    rows = texts.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    return texts.mapInArrow(run, "doc_id long, s long, n long, mins array<long>")
+
+
+def _sketch(named: DataFrame) -> np.ndarray:
+    """How common tokens are: the binary logarithm of a hashed count. SKETCH counters, summed by Spark."""
+    each = named.where("n = -1").select(F.explode("mins").alias("x"))
+    rows = each.groupBy(F.shiftright("x", 32).alias("i")).agg(F.sum(F.col("x").bitwiseAND(F.lit((1 << 32) - 1))).alias("n")).toPandas()
     total = np.zeros(SKETCH)
     total[rows["i"]] = rows["n"]
     return np.floor(np.log2(total + 1)).astype(np.uint8)
@@ -104,7 +113,7 @@ def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
     def make(key: pa.Array, sets: list[np.ndarray]) -> dict:
         out = []
         for s in sets:
-            order = np.lexsort((s, held.value[(s % U64(SKETCH)).astype(np.int64)]))
+            order = np.lexsort((s, held.value[(s & U64(SKETCH - 1)).astype(np.int64)]))
             out.append(s[order[: len(s) - (-(-len(s) * LEVEL // 100)) + 1]] if len(s) else s)
         return {"s": pa.array(map(_name, sets), pa.int64()), "prefix": _lists(out)}
 
@@ -121,7 +130,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, of: DataFrame) -> DataFrame:
     both = pairs.join(tokens.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
     both = both.join(tokens.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return cut(both.select("a", "b", "na", "nb", common.alias("i")).where(100 * F.col("i") >= LEVEL * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
+    links = cut(both.select("a", "b", "na", "nb", common.alias("i")).where(100 * F.col("i") >= LEVEL * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
+    drop(tokens, needed, pairs)
+    return links
 
 
 def _fits(a: str, b: str):
@@ -131,16 +142,19 @@ def _fits(a: str, b: str):
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    named = cut(_sets(texts, "doc_id long, s long, n long, mins array<long>", _named), "sets")
+    passed = cut(_first_pass(texts), "sets")
+    named = passed.where("n >= 0")
     of = cut(named.where("s is not null and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins")), "of")
 
     keyed = cut(of.select("s", "n", F.posexplode("mins").alias("f", "key")), "keyed")
     least = keyed.groupBy("f", "key").agg(F.min(F.struct("s", "n")).alias("m"), F.count("*").alias("c")).where("c > 1").select("f", "key", F.col("m.s").alias("b"), F.col("m.n").alias("nb"))
-    star = keyed.join(least, ["f", "key"]).where((F.col("s") != F.col("b")) & _fits("n", "nb")).select(F.col("s").alias("a"), "b").distinct()
+    star = keyed.join(least, ["f", "key"]).where((F.col("s") != F.col("b")) & _fits("n", "nb")).groupBy(F.col("s").alias("a"), "b").agg(F.count("*").alias("c"))
+    # One comparison for each set, with the leader that it shares most minima with; links that are missed so are found between groups.
+    star = star.groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
     first = _confirmed(star, texts, of.select("s", "doc_id"))
     group = cut(of.select("s", "n").join(components(first), F.col("s") == F.col("node"), "left").select("s", "n", F.coalesce("label", "s").alias("g")), "groups")
 
-    prefix = cut(_prefixes(texts, _sketch(texts)), "prefixes").where("s is not null").select("s", F.explode("prefix").alias("t"))
+    prefix = cut(_prefixes(texts, _sketch(passed)), "prefixes").where("s is not null").select("s", F.explode("prefix").alias("t"))
     shared = prefix.groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("t")
     rows = prefix.join(cut(shared, "shared"), "t", "left_semi").distinct().join(group, "s")
     rows = cut(rows, "rows")
@@ -150,9 +164,11 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     met = cut(met, "met")
 
     members = group.select(F.col("g").alias("h"), F.col("s").alias("m"), F.col("n").alias("nm"))
-    spans = members.groupBy("h").agg(F.min("nm").alias("lo"), F.max("nm").alias("hi"))
-    met = met.join(spans, "h").where(F.col("hi") * 100 >= LEVEL * F.col("n")).where(F.col("lo") * LEVEL <= 100 * F.col("n")).select("s", "n", "h")
-    opened = _open(cut(met, "met2"), members, texts, of)
+    spans = members.groupBy("h").agg(F.min("nm").alias("lo"), F.max("nm").alias("hi"), F.count("*").alias("size"))
+    met = met.join(spans, "h").where(F.col("hi") * 100 >= LEVEL * F.col("n")).where(F.col("lo") * LEVEL <= 100 * F.col("n")).select("s", "n", "h", "size")
+    met = cut(met, "fitting")
+    # The union of a single set's tokens is that set: the full comparison is its bound.
+    opened = met.where("size = 1").select("s", "n", "h").union(_open(met.where("size > 1"), members, texts, of))
     pairs = opened.join(members, "h").where(_fits("n", "nm")).select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b")).distinct()
     second = _confirmed(pairs, texts, of.select("s", "doc_id"))
 
@@ -174,7 +190,9 @@ def _open(met: DataFrame, members: DataFrame, texts: DataFrame, of: DataFrame) -
     exploded = tokens.select("s", F.explode("tokens").alias("t"))
     union = exploded.join(members.withColumnRenamed("m", "s").select("s", "h"), "s").join(met.select("h").distinct(), "h", "left_semi").select("h", "t").distinct()
     cover = met.join(exploded, "s").join(union, ["h", "t"]).groupBy("s", "n", "h").agg(F.count("*").alias("c"))
-    return cover.where(100 * F.col("c") >= LEVEL * F.col("n")).select("s", "n", "h")
+    opened = cut(cover.where(100 * F.col("c") >= LEVEL * F.col("n")).select("s", "n", "h"), "covering")
+    drop(tokens, needed)
+    return opened
 
 
 def representatives(docs: DataFrame) -> DataFrame:
