@@ -3,7 +3,7 @@
 Equal shingle sets form one set. Sets that share a minimum under one of KEYS hash functions are linked to the least set of that
 minimum when a full comparison confirms it; the components of these links are the groups. The matrix holds each group's tokens:
 two sets at or above the threshold must share a token among the first n - ceil(n * 3 / 4) + 1 of each (in one order of all
-tokens, common ones last), so a set can only be linked with groups whose prefix tokens meet its own. Of such a group the union of
+tokens, common ones last), so a set can only be linked with groups whose prefix tokens meet its own, and often enough for its size. Of such a group the union of
 all tokens is held against the set: only if it covers three quarters of the set is the group opened, and its members of
 fitting size compared in full. Links inside a group can't change the components and aren't sought.
 
@@ -160,12 +160,12 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     rows = cut(rows, "rows")
     matrix = cut(rows.select("t", "g").distinct(), "matrix")
     wide = cut(matrix.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "wide")
-    met = rows.join(wide, "t", "left_semi").join(matrix.join(wide, "t", "left_semi").withColumnRenamed("g", "h"), "t").where("g <> h").select("s", "n", "h").distinct()
+    met = rows.join(wide, "t", "left_semi").join(matrix.join(wide, "t", "left_semi").withColumnRenamed("g", "h"), "t").where("g <> h").groupBy("s", "n", "h").agg(F.count("*").alias("c"))
     met = cut(met, "met")
 
     members = group.select(F.col("g").alias("h"), F.col("s").alias("m"), F.col("n").alias("nm"))
     spans = members.groupBy("h").agg(F.min("nm").alias("lo"), F.max("nm").alias("hi"), F.count("*").alias("size"))
-    met = met.join(spans, "h").where(F.col("hi") * 100 >= LEVEL * F.col("n")).where(F.col("lo") * LEVEL <= 100 * F.col("n")).select("s", "n", "h", "size")
+    met = met.join(spans, "h").where(F.col("hi") * 100 >= LEVEL * F.col("n")).where(F.col("lo") * LEVEL <= 100 * F.col("n")).where(_reach("lo") | _reach("hi")).select("s", "n", "h", "size")
     met = cut(met, "fitting")
     # The union of a single set's tokens is that set: the full comparison is its bound.
     opened = met.where("size = 1").select("s", "n", "h").union(_open(met.where("size > 1"), members, texts, of))
@@ -181,6 +181,16 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _reach(m: str):
+    """Whether c shared prefix tokens leave room for enough shared ones with a set of m tokens.
+
+    Of the two, let x be the one whose prefix ends first in the order: tokens shared up to there are all among the c, so the sets share
+    at most c and what follows x's prefix, ceil(3 n / 4) - 1. They need 75 / 175 of both sizes. The room is least between the ends
+    of a range of sizes, so the ends decide (with one token to spare for rounding).
+    """
+    return 175 * (F.col("c") + F.ceil(F.greatest("n", m) * LEVEL / 100)) >= LEVEL * (F.col("n") + F.col(m))
+
+
 def _open(met: DataFrame, members: DataFrame, texts: DataFrame, of: DataFrame) -> DataFrame:
     """The (s, n, h) for which the union of h's tokens covers enough of s."""
     needed = met.select("s").union(met.join(members, "h").select("m")).distinct().join(of.select("s", "doc_id"), "s")
