@@ -206,18 +206,17 @@ def _open(met: DataFrame, members: DataFrame, texts: DataFrame, of: DataFrame) -
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all columns of docs; documents without words or without an id all stay.
+    """One document of each component, with all columns of docs; documents without words all stay.
 
-    The least doc_id stays; if several rows have it, the one of least content hash, and of equal rows one.
+    Rows are named by a hash of all their columns, not by id, so repeated and null ids lose no text; the row of least hash stays,
+    and of equal rows one.
     """
-    ids = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    ids = cut(ids, "kept")
     row = docs.withColumn("_h", F.xxhash64(*docs.columns))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    stay = row.where(F.col("doc_id").isNull() | blank)
-    one = row.where(F.col("doc_id").isNotNull() & ~blank).join(ids, F.col("doc_id") == F.col("_keep"), "left_semi").select("doc_id", "_h", F.struct(*docs.columns).alias("_row"))
-    first = one.groupBy("doc_id").agg(F.min_by("_row", "_h").alias("_row"))
-    return stay.select(*docs.columns).unionByName(first.select("_row.*"))
+    ids = classes(row, "_h").where("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    ids = cut(ids, "kept")
+    one = row.where(~blank).join(ids, F.col("_h") == F.col("_keep"), "left_semi").dropDuplicates(["_h"])
+    return row.where(blank).unionByName(one).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
