@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark removes the shuffle files of a finished query at once, not when the driver's collector happens to find them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns the table: lineage ends there, and lost executors cost nothing before it."""
+    """Writes df to the shared folder and returns the table: lineage ends there, and lost executors cost nothing before it.
+
+    The shuffle files of the write go when it has finished; nothing reads them after it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of a text column, or of one row: what a task holds doesn't depend on the lengths of other texts."""
+    if batch.num_rows:
+        before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // most
+        edges = [0, *(np.flatnonzero(before[1:] != before[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that cut() wrote, once nothing reads them any more."""
     for df in tables:

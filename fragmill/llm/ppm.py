@@ -1,11 +1,13 @@
 """Language-model scoring by prediction by partial matching over byte contexts.
 
 The trie of the training texts (contexts of up to ORDER bytes and what follows them) is held as sorted count tables, one for each
-order. A symbol not seen after a context escapes (method C) to the shorter one, where the symbols of the longer context are
+order. A symbol not seen after a context escapes (method D) to the shorter one, where the symbols of the longer context are
 excluded; below the empty context all bytes and the end are alike. Code lengths are summed per document.
 
-The tables of orders are gathered with Spark and broadcast, if their rows stay under LARGEST; beyond it the highest order that fits is
-used: the order is the only thing that depends on the size, and every training text counts at each order.
+The counts of the highest order are a Spark table, whatever its size. Contexts are dealt to shards by their last two bytes, so that a
+shard holds all that follows such a context at orders 2 and above; orders 0 and 1, at most 257 * 258 counts, go with every shard. A
+shard of about SHARD rows is broadcast at a time, and the texts are passed once for each shard, scoring the symbols that belong
+to it: the order and the counts are the same at every size, and neither driver nor executors hold more than one shard.
 
 Defined cases: null texts are empty and have the end only; rows of equal ids fall on the same side; a null id counts as the text
 "null"; with no training texts all symbols are alike and base scores use counts of 0; extra columns are ignored.
@@ -14,16 +16,18 @@ Defined cases: null texts are empty and have the end only; rows of equal ids fal
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, drop, pieces
 
-ORDER, LARGEST = 4, 6_000_000
+ORDER, SHARD = 6, 4_000_000
 #: Symbols of nine bits: bytes, the end, and what stands before a text.
 END, START, BITS = 256, 257, 9
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -43,14 +47,16 @@ def grams(data: bytes, order: int) -> np.ndarray:
 
 
 class Model:
-    """Count tables of orders 0 to `order`, from (gram, count) of the highest order."""
+    """Count tables of orders 0 to `order`, from (gram, count) of the highest order; those of orders 0 and 1 from `low`, if given."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None):
         self.order, self.tables = order, []
         for k in range(order, -1, -1):
-            low = keys & ((1 << BITS * (k + 1)) - 1)
-            keys_k, back = np.unique(low, return_inverse=True)
-            n = np.bincount(back, counts, len(keys_k)) if len(keys_k) else np.zeros(0)
+            if low is not None and k == 1:
+                keys, counts = low
+            keys, back = np.unique(keys & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
+            counts = np.bincount(back, counts, len(keys)) if len(keys) else np.zeros(0)
+            keys_k, n = keys, counts
             context, at = np.unique(keys_k >> BITS, return_inverse=True)
             self.tables.append({"keys": keys_k, "n": n, "context": context, "total": np.bincount(at, n, len(context)), "kinds": np.bincount(at, minlength=len(context)).astype(float), "at": at})
         self.tables.reverse()
@@ -75,9 +81,9 @@ class Model:
             hit = t["keys"][g] == gram
             total, kinds = t["total"][c] - gone_n[open_], t["kinds"][c] - gone_kinds[open_]
             with np.errstate(divide="ignore", invalid="ignore"):
-                out[open_[hit]] += np.log10(t["n"][g[hit]] / (total + kinds)[hit])
+                out[open_[hit]] += np.log10((t["n"][g[hit]] - 0.5) / total[hit])
                 escaped = known & ~hit & (kinds > 0)
-                out[open_[escaped]] += np.log10(kinds[escaped] / (total + kinds)[escaped])
+                out[open_[escaped]] += np.log10(0.5 * kinds[escaped] / total[escaped])
             if k:
                 gone_n[open_[known]] = t["excluded"][c[known]]
             gone_kinds[open_[known]] = t["kinds"][c[known]]
@@ -93,63 +99,93 @@ def held_out(doc_id) -> bool:
 def _counts(train: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [grams(_lower(t), order) for t in batch.column(0).to_pylist()]
-            if found:
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
+            for part in pieces(batch, 0):
+                keys, n = np.unique(np.concatenate([grams(_lower(t), order) for t in part.column(0).to_pylist()]), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"gram": keys, "n": n.astype(np.int64)})
 
     return train.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame, order: int = ORDER, largest: int = LARGEST) -> Model:
-    """The model of all texts. Rows are fetched a partition at a time, and only if there are no more than `largest`."""
-    counted = cut(_counts(texts, order), "grams")
-    mask = F.lit((1 << BITS * (order + 1)) - 1)
-    while order and counted.count() > largest:
-        order -= 1
-        mask = F.lit((1 << BITS * (order + 1)) - 1)
-        counted = cut(counted.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-    got = counted.toArrow()
-    return Model(got["gram"].to_numpy(), got["n"].to_numpy().astype(float), order)
+def shard_of(gram, shards: int):
+    """The shard of packed grams (an array or a column's values): it depends on the two symbols before the last."""
+    return ((((gram >> BITS) & ((1 << 2 * BITS) - 1)) * 2654435761) >> 16) % shards
+
+
+@dataclass
+class Trained:
+    """Counts of the highest order as a table (gram, n, shard), how many shards there are, and the counts of order 1."""
 
+    table: DataFrame
+    order: int
+    shards: int
+    low: tuple[np.ndarray, np.ndarray]
 
-_MODELS: dict[int, Model] = {}
 
+def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = df.select("gram", "n").toArrow()
+    return got["gram"].to_numpy(), got["n"].to_numpy().astype(float)
 
-def score(texts: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score: the model's log10 probability of each text."""
-    # Only the highest order travels; the others follow from it.
-    top = model.tables[-1]
-    sent = texts.sparkSession.sparkContext.broadcast((top["keys"], top["n"], model.order))
+
+def train(texts: DataFrame, order: int = ORDER, shard: int = SHARD) -> Trained:
+    """The counts of all texts, dealt to shards of about `shard` rows."""
+    counted = cut(_counts(texts, order), "grams")
+    shards = max(1, -(-counted.count() // shard))
+    context = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+    table = counted.withColumn("shard", F.pmod(F.shiftright(context * F.lit(2654435761), 16), F.lit(shards)))
+    # At most 258 * 257 rows.
+    low = _arrays(counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
+    return Trained(table, order, shards, low)
+
+
+def _pass(texts: DataFrame, trained: Trained, i: int, key: str, text: str) -> DataFrame:
+    """key, score: what the symbols of shard i add to each text's score."""
+    sent = texts.sparkSession.sparkContext.broadcast((*_arrays(trained.table.where(F.col("shard") == i)), trained.order, trained.low))
+    shards, order = trained.shards, trained.order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Model(*sent.value)
+        held = None
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                wanted, n = np.unique(grams(_lower(t), held.order), return_counts=True)
-                out.append(float(held.log10(wanted) @ n))
-            yield pa.RecordBatch.from_pydict({key: batch.column(0), "score": out})
+            held = held or Model(*sent.value)
+            for part in pieces(batch, 1):
+                found = [grams(_lower(t), order) for t in part.column(1).to_pylist()]
+                owner, flat = np.repeat(np.arange(len(found)), [len(g) for g in found]), np.concatenate(found)
+                if shards > 1:
+                    mine = shard_of(flat, shards) == i
+                    owner, flat = owner[mine], flat[mine]
+                wanted, back = np.unique(flat, return_inverse=True)
+                yield pa.RecordBatch.from_pydict({key: part.column(0), "score": np.bincount(owner, held.log10(wanted)[back], len(found))})
+
+    out = cut(texts.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, score double"), "scores")
+    sent.destroy()
+    return out
+
 
-    return texts.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, score double")
+def score(texts: DataFrame, trained: Trained, key: str, text: str = "text") -> DataFrame:
+    """key, score: the model's log10 probability of each text. Rows of equal key have equal texts and give one row."""
+    parts = [_pass(texts, trained, i, key, text).dropDuplicates([key]) for i in range(trained.shards)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.groupBy(key).agg(F.sum("score").alias("score")) if len(parts) > 1 else out
 
 
 def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 10 == 0
-    model = train(rows.where(~out))
+    trained = train(rows.where(~out))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_lower(t).split() for t in batch.column(2).to_pylist()]
-            lists = []
-            for w in found:
-                n: dict[bytes, int] = {}
-                for x in w:
-                    n[x] = n.get(x, 0) + 1
-                lists.append([{"w": x, "n": k} for x, k in n.items()])
-            yield pa.RecordBatch.from_pydict({"u": batch.column(0), "doc_id": batch.column(1), "words": pa.array(lists, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))})
+            for part in pieces(batch, 2):
+                kinds, counts, ends = [], [], [0]
+                for t in part.column(2).to_pylist():
+                    c = Counter(_lower(t).split())
+                    kinds += c
+                    counts += c.values()
+                    ends.append(len(kinds))
+                bags = pa.StructArray.from_arrays([pa.array(kinds, pa.binary()), pa.array(counts, pa.int64())], ["w", "n"])
+                yield pa.RecordBatch.from_pydict({"u": part.column(0), "doc_id": part.column(1), "words": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), bags)})
 
     keyed = rows.withColumn("u", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     bags = cut(keyed.select("u", "doc_id", "text").mapInArrow(words, "u long, doc_id long, words array<struct<w:binary,n:bigint>>"), "bags")
@@ -161,7 +197,8 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     part = lambda c: F.log10((c + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
     each = bags.dropDuplicates(["u"]).select("u", F.explode("words").alias("x")).select("u", "x.w", "x.n").join(counts, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = each.groupBy("u").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * part(F.col("c"))).alias("b"))
-    probability = score(keyed.select("u", "text"), model, "u").dropDuplicates(["u"])
+    probability = score(keyed.select("u", "text"), trained, "u")
+    drop(trained.table)
     whole = bags.select("u", "doc_id").join(sums, "u", "left").join(probability, "u")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return whole.select(

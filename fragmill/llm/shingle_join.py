@@ -152,16 +152,19 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     # One comparison for each set, with the leader that it shares most minima with; links that are missed so are found between groups.
     star = star.groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
     first = _confirmed(star, texts, of.select("s", "doc_id"))
+    drop(keyed)
     group = cut(of.select("s", "n").join(components(first), F.col("s") == F.col("node"), "left").select("s", "n", F.coalesce("label", "s").alias("g")), "groups")
 
-    prefix = cut(_prefixes(texts, _sketch(passed)), "prefixes").where("s is not null").select("s", F.explode("prefix").alias("t"))
-    shared = prefix.groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("t")
-    rows = prefix.join(cut(shared, "shared"), "t", "left_semi").distinct().join(group, "s")
-    rows = cut(rows, "rows")
+    held = cut(_prefixes(texts, _sketch(passed)), "prefixes")
+    prefix = held.where("s is not null").select("s", F.explode("prefix").alias("t"))
+    shared = cut(prefix.groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("t"), "shared")
+    rows = cut(prefix.join(shared, "t", "left_semi").distinct().join(group, "s"), "rows")
+    drop(held, shared)
     matrix = cut(rows.select("t", "g").distinct(), "matrix")
     wide = cut(matrix.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "wide")
     met = rows.join(wide, "t", "left_semi").join(matrix.join(wide, "t", "left_semi").withColumnRenamed("g", "h"), "t").where("g <> h").groupBy("s", "n", "h").agg(F.count("*").alias("c"))
     met = cut(met, "met")
+    drop(rows, matrix, wide)
 
     members = group.select(F.col("g").alias("h"), F.col("s").alias("m"), F.col("n").alias("nm"))
     spans = members.groupBy("h").agg(F.min("nm").alias("lo"), F.max("nm").alias("hi"), F.count("*").alias("size"))

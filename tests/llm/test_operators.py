@@ -166,3 +166,12 @@ def test_licenses(docs, none, spark):
     got = {r.doc_id: (r.n_matches, r.license, r.dice) for r in licenses.scan(df).collect()}
     assert got == {1: (1, "mit", 1.0), 2: (0, None, None)}
     assert all(r.n_matches == 0 for r in licenses.scan(docs).collect()) and licenses.scan(none).collect() == []
+
+
+def test_ppm_shards_change_nothing(docs):
+    keyed = docs.where("doc_id > 3")
+    one = ppm.train(keyed)
+    many = ppm.train(keyed, shard=200)
+    assert one.shards == 1 and many.shards > 1
+    a, b = ({r.doc_id: r.score for r in ppm.score(keyed, m, "doc_id").collect()} for m in (one, many))
+    assert a.keys() == b.keys() and all(abs(a[d] - b[d]) < 1e-6 for d in a)
