@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, rolling
-from .repeats import WINDOW, applied, chosen, keyed, recurring
+from .repeats import WINDOW, applied, keyed, places, recurring
 from .shingle_join import word_hashes
 
 PHRASE = 25
@@ -48,8 +48,8 @@ def _phrases(rows: DataFrame, found: DataFrame) -> DataFrame:
             for text, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _encoded(text).split()
                 grams = rolling(_symbols(text), PHRASE).view(np.int64)
-                values, places = np.unique(grams, return_index=True)
-                at = places[np.searchsorted(values, np.array(anchors, np.int64))]
+                values, first = np.unique(grams, return_index=True)
+                at = first[np.searchsorted(values, np.array(anchors, np.int64))]
                 names += anchors
                 texts += [b" ".join(words[i : i + PHRASE]).decode("utf-8", "surrogatepass") for i in at]
             yield pa.RecordBatch.from_pydict({"anchor": pa.array(names, pa.int64()), "phrase": pa.array(texts, pa.string())})
@@ -71,8 +71,7 @@ def _occurrences(held: list[tuple[str, int, int, list[str]]]) -> Iterator[dict]:
         lengths = np.fromiter((len(w.decode("utf-8", "surrogatepass")) + 1 for w in words), np.int64, len(words))
         at = np.searchsorted(np.concatenate(([0], np.cumsum(lengths))), ends)
         symbols = _symbols(text)
-        _, place = chosen(symbols, PHRASE)
-        starts = np.flatnonzero(np.isin(place, at))
+        starts = np.flatnonzero(np.isin(places(symbols, PHRASE), at))
         yield {"u": u, "doc_id": doc, "starts": starts, "names": rolling(symbols, WINDOW)[starts].view(np.int64)}
 
 

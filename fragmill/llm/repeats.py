@@ -18,30 +18,25 @@ from .common import U64, cut, rolling, sliding_min
 WINDOW = 50
 
 
-def chosen(symbols: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor hash, its leftmost position) for each window start."""
-    grams = rolling(symbols, k)
-    width = WINDOW - k + 1
-    if len(grams) < width:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    least = sliding_min(grams, width)
-    # The next place of each least value at or after the window's start.
-    change = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    at = np.empty(len(least), np.int64)
-    for a, b in zip(change, [*change[1:], len(least)], strict=True):
-        at[a:b] = _places(grams, least[a], a, b, width)
-    return least, at
+def least_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
+    """The anchor hash of each window start."""
+    grams, width = rolling(symbols, k), WINDOW - k + 1
+    return sliding_min(grams, width) if len(grams) >= width else np.empty(0, U64)
 
 
-def _places(grams: np.ndarray, value: np.uint64, a: int, b: int, width: int) -> np.ndarray:
-    places = np.flatnonzero(grams[a : b - 1 + width] == value) + a
-    return places[np.searchsorted(places, np.arange(a, b))]
+def places(symbols: np.ndarray, k: int) -> np.ndarray:
+    """The leftmost position of the anchor of each window start."""
+    grams, width = rolling(symbols, k), WINDOW - k + 1
+    if len(grams) < width:
+        return np.empty(0, np.int64)
+    # Ranks keep the order of hashes, and a rank and a position fit in one number.
+    n, rank = len(grams), np.unique(grams, return_inverse=True)[1].astype(np.int64)
+    held, least = np.sort(rank * n + np.arange(n)), sliding_min(rank, width)
+    return held[np.searchsorted(held, least * n + np.arange(len(least)))] - least * n
 
 
 def anchors(symbols: np.ndarray, k: int) -> np.ndarray:
-    grams = rolling(symbols, k)
-    width = WINDOW - k + 1
-    return np.unique(sliding_min(grams, width)) if len(grams) >= width else np.empty(0, U64)
+    return np.unique(least_hashes(symbols, k))
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, cut, documents, shuffle_partitions
-from .repeats import WINDOW, applied, chosen, covered, keyed, recurring
+from .repeats import WINDOW, applied, covered, keyed, least_hashes, recurring
 
 ANCHOR = 24
 #: Every residue is a difference of two of COVER, modulo PERIOD.
@@ -118,8 +118,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, doc, u, anchors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = _bytes(text)
-            least, _ = chosen(raw.astype(U64), ANCHOR)
-            least = least.view(np.int64)
+            least = least_hashes(raw.astype(U64), ANCHOR).view(np.int64)
             hit = np.isin(least, np.array(anchors, np.int64))
             edge = np.concatenate(([True], (least[1:] != least[:-1]))) if len(least) else np.empty(0, bool)
             begin = np.flatnonzero(edge)
