@@ -175,3 +175,71 @@ def test_ppm_shards_change_nothing(docs):
     assert one.shards == 1 and many.shards > 1
     a, b = ({r.doc_id: r.score for r in ppm.score(keyed, m, "doc_id").collect()} for m in (one, many))
     assert a.keys() == b.keys() and all(abs(a[d] - b[d]) < 1e-6 for d in a)
+
+
+def brute_licenses(text, templates, least=0.75):
+    """licenses.matches by comparing every window with every template."""
+    import regex
+
+    words = lambda t: [w for w in regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).split(" ") if w]
+    grams = lambda w: set(zip(w, w[1:], strict=False))
+    own = {k: grams(words(v)) for k, v in templates.items()}
+    pieces = [words(p) for p in regex.split(r"\n|(?<=[.!?])[ \t]+(?=\p{Lu})", text)]
+    dice = lambda g, t: 2 * len(g & t) / (len(g) + len(t))
+    every = grams(words(text))
+    top = min((-dice(every, t), k) for k, t in own.items())
+    out = [(0, 0, top[1], -top[0])] if -top[0] >= least else []
+    chosen = []
+    for k, t in own.items():
+        found = []
+        for p in range(len(pieces)):
+            for q in range(p, len(pieces)):
+                g = grams([w for x in pieces[p : q + 1] for w in x])
+                if g and dice(g, t) >= least:
+                    found.append((-dice(g, t), q - p, p, q, k))
+        mine = []
+        for w in sorted(found):
+            if all(w[3] < c[2] or c[3] < w[2] for c in mine):
+                mine.append(w)
+        chosen += mine
+    alone = [w for w in chosen if not any((o[2], o[3]) == (w[2], w[3]) and (o[0], o[4]) < (w[0], w[4]) for o in chosen)]
+    return out + sorted((w[2] + 1, w[3] + 1, w[4], -w[0]) for w in alone)
+
+
+def license_cases():
+    import random
+    import textwrap
+
+    from fragmill.llm.license_texts import TEXTS
+
+    draw, every, out = random.Random(7), licenses.TEMPLATES | TEXTS, []
+    filler = "the of this software and license under is to in any with permission notice alpha beta gamma".split()
+    some = lambda n: " ".join(draw.choice(filler) for _ in range(n))
+    for k, v in every.items():
+        body = textwrap.fill(v, draw.choice([30, 50, 78])) if draw.random() < 0.7 else v
+        out.append("\n".join([*[some(9) for _ in range(draw.randrange(6))], body, *[some(7) + "." for _ in range(draw.randrange(6))]]))
+        words = v.split()
+        kept = [w for w in words if draw.random() < 0.93]
+        out.append(textwrap.fill(" ".join(kept), 40) + "\n\n" + body + "\n" + some(30))
+    return out + ["All rights reserved.\n" * 12, "Released under the MIT License.\nReleased under\nthe MIT License. " * 5]
+
+
+def test_licenses_equal_brute_force(spark):
+    from fragmill.llm.license_texts import TEXTS
+
+    every, cases = licenses.TEMPLATES | TEXTS, license_cases()
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in licenses.scan(df, every).collect():
+        got = [(m.line, m.last, m.license, m.dice) for m in r.matches]
+        want = brute_licenses(cases[r.doc_id], every)
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, want, strict=True)), cases[r.doc_id]
+
+
+def test_wrapped_notices_are_found(spark):
+    """Failed when only single lines and sentences were compared."""
+    gpl = "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published\nby the Free Software Foundation."
+    cases = [gpl + "\n" + "int x = 0;\n" * 40, "Notes of ours.\nCopyright (c) 2024 Acme Ltd. All rights reserved.\nMore notes of ours follow here."]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    every = licenses.TEMPLATES | {"all-rights-reserved": "All rights reserved."}
+    got = {r.doc_id: (r.license, r.dice) for r in licenses.scan(df, every).collect()}
+    assert got == {0: ("gpl-notice", 1.0), 1: ("all-rights-reserved", 1.0)}
