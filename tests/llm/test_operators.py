@@ -243,3 +243,23 @@ def test_wrapped_notices_are_found(spark):
     every = licenses.TEMPLATES | {"all-rights-reserved": "All rights reserved."}
     got = {r.doc_id: (r.license, r.dice) for r in licenses.scan(df, every).collect()}
     assert got == {0: ("gpl-notice", 1.0), 1: ("all-rights-reserved", 1.0)}
+
+
+def test_licence_texts_are_found(spark):
+    """Failed when the query had one-sentence notices only."""
+    import textwrap
+    from pathlib import Path
+
+    from fragmill.llm.license_texts import TEXTS
+
+    around = "notes of ours\n" * 20
+    cases = {k: around + textwrap.fill(TEXTS[k], 60) + "\n" + around for k in TEXTS}
+    cases["mit one line"] = around + "Copyright (c) 2024 Acme Ltd.\n" + " ".join(TEXTS["mit-permission"].split()) + "\n" + around
+    # Long licences are found by the header that their own text tells authors to use.
+    debian = {"Apache-2.0": "apache-2.0-header", "GPL-3": "gpl-3.0-header", "MPL-2.0": "mpl-2.0-header"}
+    cases |= {f: p.read_text() for f in debian if (p := Path("/usr/share/common-licenses") / f).exists()}
+    df = spark.createDataFrame(list(cases.items()), "doc_id string, text string")
+    for r in licenses.scan(df, licenses.TEMPLATES | TEXTS).collect():
+        want = debian.get(r.doc_id, "mit-permission" if r.doc_id == "mit one line" else r.doc_id)
+        found = {m.license: m.dice for m in r.matches}
+        assert want in found and (r.doc_id not in TEXTS or found[want] == 1.0), (r.doc_id, found)
