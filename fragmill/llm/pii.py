@@ -8,7 +8,8 @@ no collisions, so different entities stay different, and equal ones equal, in al
 cards stay as right or wrong as they were; country codes, exchanges and top-level domains stay.
 
 Defined cases: a null text stays null; a text without entities stays as it is; case and separators don't distinguish entities;
-equal rows get equal texts; other columns are untouched, whatever their names. Secrets of over 512 characters are replaced piece by piece.
+equal rows get equal texts; other columns are untouched, whatever their names. Secrets of over BLOCK characters are permuted in blocks
+of about equal length. Key words and hexadecimal digits are found in any case.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from .common import documents, let
 
 KEY = "fragmill"
 ROUNDS = 4
+BLOCK = 512
+#: Permutations that are tried to leave or stay in a class; one is enough but for one word in 10,000 or fewer.
+WALK = 8
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
-SECRET = r"(?<=(?:token|secret|key|password)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_/+-]{8,512}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{32,512}"
+SECRET = r"(?<=[=:\s\"'])(?<=(?i:token|secret|key|password)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_/+-]{8,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+"
 NAME = r"(?<=(?<!\p{L})(?:Mr|Mrs|Ms|Herr|Frau|Mme|Señor|Señora)\.?\s)\p{Lu}\p{Ll}{1,30}(?:\s\p{Lu}\p{Ll}{1,30})?"
 KINDS = {"email": EMAIL, "card": CARD, "ssn": SSN, "phone": PHONE, "ip": IP, "secret": SECRET, "name": NAME}
 ENTITY = "|".join(KINDS.values())
@@ -51,7 +55,7 @@ def _equals(k: str):
 def kind(e: Column) -> Column:
     out = F.lit("name")
     for name in ("secret", "ip", "phone", "ssn", "card", "email"):
-        body = {"secret": r"[A-Za-z0-9_/+-]{8,512}", "ip": rf"(?:{OCTET}\.){{3}}{OCTET}", "phone": PHONE, "ssn": SSN, "card": CARD, "email": EMAIL}[name]
+        body = {"secret": r"[A-Za-z0-9_/+-]{8,}+", "ip": rf"(?:{OCTET}\.){{3}}{OCTET}", "phone": PHONE, "ssn": SSN, "card": CARD, "email": EMAIL}[name]
         out = F.when(e.rlike(f"^(?:{body})$"), F.lit(name)).otherwise(out)
     return out
 
@@ -60,12 +64,12 @@ def _alphabet(c: Column, hexadecimal: Column) -> Column:
     out = F.lit("")
     for a in ALPHABETS:
         out = F.when(F.instr(F.lit(a), c) > 0, F.lit(a)).otherwise(out)
-    return F.when(hexadecimal & c.between("a", "f"), F.lit("abcdef")).otherwise(out)
+    return F.when(hexadecimal & c.between("a", "f"), F.lit("abcdef")).when(hexadecimal & c.between("A", "F"), F.lit("ABCDEF")).otherwise(out)
 
 
-def _permuted(e: Column, key: str, movable) -> Column:
+def _permuted(e: Column, key: str, movable, hexadecimal: Column | None = None) -> Column:
     """e with the characters i (from 0) for which movable(i, c) holds shifted in their alphabets."""
-    hexadecimal = e.rlike("^[0-9a-f]+$")
+    hexadecimal = F.lit(False) if hexadecimal is None else hexadecimal
 
     def at(cells: Column) -> Column:
         places = F.filter(cells, lambda x: x["span"] > 0)
@@ -130,6 +134,30 @@ def _word(w: Column, key: str) -> Column:
     return out
 
 
+def _walked(e: Column, permuted, stays) -> Column:
+    """e permuted until stays(it): a permutation of all e that stay, if `permuted` is one of more."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), e, lambda x, i: F.when((i == 0) | ~stays(x), permuted(x)).otherwise(x))
+
+
+def _secret(e: Column, key: str) -> Column:
+    """Hexadecimal secrets stay so, AKIA stays in front, and no other secret becomes one of these."""
+
+    def form(x: Column) -> Column:
+        return F.when(x.rlike("^[0-9A-Fa-f]+$"), 1).when(x.startswith("AKIA"), 2).otherwise(0)
+
+    def blocks(x: Column, of: Column) -> Column:
+        n = F.length(x)
+        count = F.ceil(n / BLOCK).cast("int")
+        start = lambda i: F.floor(i.cast("long") * n / count).cast("int")
+
+        def block(i: Column) -> Column:
+            return let(start(i), lambda a: let(F.substring(x, a + 1, start(i + 1) - a), lambda b: _permuted(b, key + "secret", lambda j, c: ~((of == 2) & (j + a < 4)), of == 1)))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), block), "")
+
+    return let(form(e), lambda of: _walked(e, lambda x: blocks(x, of), lambda x: form(x) == of))
+
+
 def surrogate(e: Column, key: str = KEY) -> Column:
     """The replacement of one entity."""
     top = F.length(e) - F.length(F.substring_index(e, ".", -1)) - 1
@@ -142,7 +170,7 @@ def surrogate(e: Column, key: str = KEY) -> Column:
             # The line and the last two digits of the area.
             .when(k == "phone", _permuted(e, key + "phone", lambda i, c: digits_after(i).isin(1, 2, 3, 4, 8, 9)))
             .when(k == "ssn", _permuted(e, key + "ssn", lambda i, c: F.lit(True)))
-            .when(k == "secret", _permuted(e, key + "secret", lambda i, c: ~(e.startswith("AKIA") & (i < 4))))
+            .when(k == "secret", _secret(e, key))
             .otherwise(F.array_join(F.transform(F.split(e, " "), lambda w: _word(w, key)), " "))
         )
 
@@ -150,7 +178,7 @@ def surrogate(e: Column, key: str = KEY) -> Column:
 
 
 def entities(text: Column) -> Column:
-    return F.when(text.rlike(r"[0-9@=:]|\p{Lu}\p{Ll}+\.?\s\p{Lu}"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(r"[0-9@=:]|\p{Lu}\p{Ll}+\.?\s\p{Lu}|AKIA|[A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def replaced(text: Column, found: Column, key: str = KEY) -> Column:

@@ -263,3 +263,21 @@ def test_licence_texts_are_found(spark):
         want = debian.get(r.doc_id, "mit-permission" if r.doc_id == "mit one line" else r.doc_id)
         found = {m.license: m.dice for m in r.matches}
         assert want in found and (r.doc_id not in TEXTS or found[want] == 1.0), (r.doc_id, found)
+
+
+def test_secrets_are_replaced_whole(spark):
+    """Failed when key words and hex were known in lower case only, and runs were cut at 512 characters."""
+    import random
+
+    draw = random.Random(3)
+    long = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(750))
+    secrets = ["9233A8EC0B41FD7719", "hunter2hunter2", "abcdEFGH1234_x", long, long[:513], "0123456789ABCDEF" * 3]
+    texts = [f'TOKEN = "{secrets[0]}"', f"Password: {secrets[1]}", f"API_KEY={secrets[2]}", f"token = {long}", f"Secret: {secrets[4]}", f"id {secrets[5]} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.pseudonymised(df).collect():
+        was, text = secrets[r.doc_id], texts[r.doc_id]
+        before, after = text.split(was)
+        new = r.text[len(before) : len(r.text) - len(after)]
+        assert r.text == before + new + after and len(new) == len(was)
+        assert all(new[i : i + 12] != was[i : i + 12] for i in range(0, len(was) - 11)), r.text
+    assert pii.collisions(df).collect() == []
