@@ -4,7 +4,8 @@ Entities (e-mail addresses, telephone, card and social security numbers, IPv4 ad
 by one pattern. Each is replaced by a keyed permutation of all entities of its format: its letters and digits are shifted inside their own
 alphabets (script, case and digits stay) in a Feistel network, whose rounds hash one half to shift the other. A permutation has
 no collisions, so different entities stay different, and equal ones equal, in all documents and without any exchange of data;
-`collisions` checks that on the data. Given names change places within a list of their gender; titles stay. Check digits of
+`checked` checks that on the data and fails if it isn't so. Names are replaced word by word: given names change places within a list
+of their gender, other words are permuted until they are none of the list; titles stay. Check digits of
 cards stay as right or wrong as they were; country codes, exchanges and top-level domains stay.
 
 Defined cases: a null text stays null; a text without entities stays as it is; case and separators don't distinguish entities;
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let
+from .common import cut, documents, let
 
 KEY = "fragmill"
 ROUNDS = 4
@@ -34,6 +35,8 @@ SECRET = r"(?<=[=:\s\"'])(?<=(?i:token|secret|key|password)[\"']?\s{0,2}[=:]\s{0
 NAME = r"(?<=(?<!\p{L})(?:Mr|Mrs|Ms|Herr|Frau|Mme|Señor|Señora)\.?\s)\p{Lu}\p{Ll}{1,30}(?:\s\p{Lu}\p{Ll}{1,30})?"
 KINDS = {"email": EMAIL, "card": CARD, "ssn": SSN, "phone": PHONE, "ip": IP, "secret": SECRET, "name": NAME}
 ENTITY = "|".join(KINDS.values())
+#: The same with the name as its only group.
+NAMED = "|".join(f"({p})" if k == "name" else p for k, p in KINDS.items())
 #: Letters that may stand for each other, and given names by gender.
 ALPHABETS = [
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåçèéêëìíîïñòóôõöùúûü", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ",
@@ -48,11 +51,12 @@ def partial_step(step, r: int):
     return lambda x: step(x, r)
 
 
-def _equals(k: str):
-    return lambda x: x == k
+def _is(k: str):
+    return lambda x: x["kind"] == k
 
 
 def kind(e: Column) -> Column:
+    """The kind of an entity by its form. A name of one word that a secret could be is told by `entities`, from where it stands."""
     out = F.lit("name")
     for name in ("secret", "ip", "phone", "ssn", "card", "email"):
         body = {"secret": r"[A-Za-z0-9_/+-]{8,}+", "ip": rf"(?:{OCTET}\.){{3}}{OCTET}", "phone": PHONE, "ssn": SSN, "card": CARD, "email": EMAIL}[name]
@@ -124,8 +128,14 @@ def _ip(e: Column, key: str) -> Column:
     return let(x, lambda y: F.concat_ws(".", F.floor(y[0] / 256), y[0] % 256, F.floor(y[1] / 256), y[1] % 256))
 
 
+def _walked(e: Column, permuted, stays) -> Column:
+    """e permuted until stays(it): a permutation of all e that stay, if `permuted` is one of more."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), e, lambda x, i: F.when((i == 0) | ~stays(x), permuted(x)).otherwise(x))
+
+
 def _word(w: Column, key: str) -> Column:
-    out = _permuted(w, key + "name", lambda i, c: F.lit(True))
+    listed = lambda x: x.isin(*FEMALE, *MALE)
+    out = _walked(w, lambda x: _permuted(x, key + "name", lambda i, c: F.lit(True)), lambda x: ~listed(x))
     for names in (FEMALE, MALE):
         all_ = F.array(*map(F.lit, names))
         shift = 1 + sum(key.encode()) % (len(names) - 1)
@@ -134,9 +144,9 @@ def _word(w: Column, key: str) -> Column:
     return out
 
 
-def _walked(e: Column, permuted, stays) -> Column:
-    """e permuted until stays(it): a permutation of all e that stay, if `permuted` is one of more."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), e, lambda x, i: F.when((i == 0) | ~stays(x), permuted(x)).otherwise(x))
+def _name(e: Column, key: str) -> Column:
+    blank = F.regexp_extract(e, r"\s", 0)
+    return let(F.transform(F.split(e, r"\s"), lambda w: _word(w, key)), lambda w: F.concat(w[0], F.when(F.size(w) > 1, F.concat(blank, F.get(w, F.lit(1)))).otherwise("")))
 
 
 def _secret(e: Column, key: str) -> Column:
@@ -158,52 +168,83 @@ def _secret(e: Column, key: str) -> Column:
     return let(form(e), lambda of: _walked(e, lambda x: blocks(x, of), lambda x: form(x) == of))
 
 
-def surrogate(e: Column, key: str = KEY) -> Column:
-    """The replacement of one entity."""
+def surrogate(e: Column, k: Column, key: str = KEY) -> Column:
+    """The replacement of one entity of kind k."""
     top = F.length(e) - F.length(F.substring_index(e, ".", -1)) - 1
+    digits_after = lambda i: F.length(F.regexp_replace(F.substring(e, i + 1, F.length(e)), "[^0-9]", ""))
+    return (
+        F.when(k == "email", _permuted(e, key + "email", lambda i, c: i < top))
+        .when(k == "card", _card(e, key)).when(k == "ip", _ip(e, key))
+        # The line and the last two digits of the area.
+        .when(k == "phone", _permuted(e, key + "phone", lambda i, c: digits_after(i).isin(1, 2, 3, 4, 8, 9)))
+        .when(k == "ssn", _permuted(e, key + "ssn", lambda i, c: F.lit(True)))
+        .when(k == "secret", _secret(e, key))
+        .otherwise(_name(e, key))
+    )
 
-    def of(k: Column) -> Column:
-        digits_after = lambda i: F.length(F.regexp_replace(F.substring(e, i + 1, F.length(e)), "[^0-9]", ""))
-        return (
-            F.when(k == "email", _permuted(e, key + "email", lambda i, c: i < top))
-            .when(k == "card", _card(e, key)).when(k == "ip", _ip(e, key))
-            # The line and the last two digits of the area.
-            .when(k == "phone", _permuted(e, key + "phone", lambda i, c: digits_after(i).isin(1, 2, 3, 4, 8, 9)))
-            .when(k == "ssn", _permuted(e, key + "ssn", lambda i, c: F.lit(True)))
-            .when(k == "secret", _secret(e, key))
-            .otherwise(F.array_join(F.transform(F.split(e, " "), lambda w: _word(w, key)), " "))
-        )
 
-    return let(kind(e), of)
+def entities(text: Column, key: str = KEY) -> Column:
+    """array<struct<kind, e, s>> of the entities in order, with their surrogates. The kind is that of the alternative that matched."""
+    found = F.when(text.rlike(r"[0-9@=:]|\p{Lu}\p{Ll}+\.?\s\p{Lu}|AKIA|[A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
+    def told(found: Column) -> Column:
+        # Only a word of eight ASCII letters or more can be a name and a secret: then the group of the name tells.
+        names = F.when(F.exists(found, lambda e: e.rlike("^[A-Z][a-z]{7,30}$")), F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)))
+        return let(names, lambda n: F.transform(found, lambda e, i: let(F.when(F.get(n, i) == e, F.lit("name")).otherwise(kind(e)), lambda k: F.struct(k.alias("kind"), e.alias("e"), surrogate(e, k, key).alias("s")))))
 
-def entities(text: Column) -> Column:
-    return F.when(text.rlike(r"[0-9@=:]|\p{Lu}\p{Ll}+\.?\s\p{Lu}|AKIA|[A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return let(found, told)
 
 
-def replaced(text: Column, found: Column, key: str = KEY) -> Column:
+def replaced(text: Column, found: Column) -> Column:
     """text with its entities (all, in order) replaced."""
     gaps = F.split(text, ENTITY, -1)
-    whole = let(gaps, lambda g: F.concat(g[0], F.array_join(F.zip_with(F.slice(g, F.lit(2), F.size(g)), F.transform(found, lambda e: surrogate(e, key)), lambda x, e: F.concat(e, x)), "")))
+    whole = let(gaps, lambda g: F.concat(g[0], F.array_join(F.zip_with(F.slice(g, F.lit(2), F.size(g)), found, lambda x, e: F.concat(e["s"], x)), "")))
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """docs with surrogates in the text; all columns stay."""
-    return docs.withColumn(text, let(entities(F.col(text)), lambda f: replaced(F.col(text), f, key)))
+    return docs.withColumn(text, let(entities(F.col(text), key), lambda f: replaced(F.col(text), f)))
+
+
+def _plain(c: Column, k: Column) -> Column:
+    """An entity apart from case and separators."""
+    return F.when(k.isin("ip", "email", "secret", "name"), F.regexp_replace(F.lower(c), r"\s", " ")).otherwise(F.regexp_replace(c, "[^0-9]", ""))
+
+
+def _pairs(found: Column) -> Column:
+    """array<struct<kind, e, surrogate>> for the collision check: of the entities only a hash is kept."""
+    return F.array_distinct(F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), F.sha2(_plain(x["e"], x["kind"]), 256).alias("e"), _plain(x["s"], x["kind"]).alias("surrogate"))))
+
+
+def _shared(pairs: DataFrame) -> DataFrame:
+    """(kind, surrogate, n) of surrogates that several entities share, from a table with an array `pairs`."""
+    return pairs.select(F.explode("pairs").alias("p")).select("p.*").distinct().groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def collisions(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """(kind, surrogate, n) of surrogates that several entities share, case and separators apart. None are expected."""
-    plain = lambda c: F.when(F.col("kind").isin("ip", "email", "secret", "name"), F.lower(c)).otherwise(F.regexp_replace(c, "[^0-9]", ""))
-    found = docs.select(F.explode(F.array_distinct(entities(F.col(text)))).alias("e")).distinct()
-    pairs = found.select(kind(F.col("e")).alias("kind"), "e", surrogate(F.col("e"), key).alias("s")).select("kind", plain("e").alias("e"), plain("s").alias("surrogate")).distinct()
-    return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
+    return _shared(docs.select(_pairs(entities(F.col(text), key)).alias("pairs")))
+
+
+def _verified(df: DataFrame) -> DataFrame:
+    """df(row, pairs) written once, and its rows, if no two entities share a surrogate."""
+    done = cut(df, "surrogates")
+    shared = _shared(done).groupBy("kind").agg(F.count("*").alias("n")).collect()  # a row per kind
+    if shared:
+        raise RuntimeError("surrogates shared by several entities: " + ", ".join(f"{r.kind} {r.n}" for r in sorted(shared)))
+    return done.select("row.*")
+
+
+def checked(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+    """pseudonymised, written once and checked for collisions."""
+    found = docs.select(F.struct(*docs.columns).alias("row"), entities(F.col(text), key).alias("found"))
+    return _verified(found.select(F.col("row").withField(f"`{text}`", replaced(F.col("row")[text], F.col("found"))).alias("row"), _pairs(F.col("found")).alias("pairs")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: all documents with surrogates, and how many entities of each kind were replaced."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = docs.select("doc_id", "text", entities(F.col("text")).alias("found"))
-    kinds = found.select("doc_id", replaced(F.col("text"), F.col("found")).alias("text"), F.size("found").cast("long").alias("n_entities"), F.transform("found", kind).alias("kinds"))
-    return kinds.select("doc_id", "n_entities", *[F.size(F.filter("kinds", _equals(k))).cast("long").alias(f"n_{k}") for k in KINDS], "text")
+    found = documents(spark, sf_dir).select("doc_id", "text", entities(F.col("text")).alias("found"))
+    counts = [F.size(F.filter(F.col("found"), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    row = F.struct("doc_id", F.size("found").cast("long").alias("n_entities"), *counts, replaced(F.col("text"), F.col("found")).alias("text"))
+    return _verified(found.select(row.alias("row"), _pairs(F.col("found")).alias("pairs")))

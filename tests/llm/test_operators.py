@@ -281,3 +281,42 @@ def test_secrets_are_replaced_whole(spark):
         assert r.text == before + new + after and len(new) == len(was)
         assert all(new[i : i + 12] != was[i : i + 12] for i in range(0, len(was) - 11)), r.text
     assert pii.collisions(df).collect() == []
+
+
+def test_names_keep_their_words(spark):
+    """Failed when a name of one long word was taken for a secret."""
+    df = spark.createDataFrame([(1, "Mr Williams met Mr Peter Williams, Mrs Schneider, and Frau Anna\nSchneider; key=Williams")], "doc_id long, text string")
+    text = pii.pseudonymised(df).first().text
+    a, b, c, d = (p.split() for p in text.split(";")[0].replace(" met ", ", ").replace("and ", "").split(", "))
+    assert a[1] == b[2] != "Williams" and c[1] == d[2] != "Schneider" and b[1] in pii.MALE and d[1] in pii.FEMALE
+    kinds = [x.kind for x in df.select(pii.entities(df.text).alias("f")).first().f]
+    assert kinds == ["name", "name", "name", "name", "secret"]
+
+
+def test_name_words_are_a_permutation(spark):
+    """Failed when other words could become given names of the list: all words of two letters, and a list of two such names."""
+    import itertools
+    import string
+
+    before = pii.FEMALE[:], pii.MALE[:]
+    pii.FEMALE[:], pii.MALE[:] = ["Al", "Bo", "Cy"], ["Di", "Ed", "Jo"]
+    try:
+        words = [a + b for a, b in itertools.product(string.ascii_uppercase, string.ascii_lowercase)]
+        df = spark.createDataFrame([(i, "Mr " + w) for i, w in enumerate(words)], "doc_id long, text string")
+        new = [r.text for r in pii.pseudonymised(df).collect()]
+        assert sorted(new) == sorted("Mr " + w for w in words)
+        assert {r.text[3:] for r in pii.checked(df.where("text in ('Mr Al', 'Mr Bo', 'Mr Cy')")).collect()} == {"Al", "Bo", "Cy"}
+    finally:
+        pii.FEMALE[:], pii.MALE[:] = before
+
+
+def test_collisions_stop_the_run(spark, monkeypatch):
+    """Failed when the check ran in no query or stage."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "Mr Able"), (2, "Mr Baker")], "doc_id long, text string")
+    assert corpus_pipeline.private(spark, df, "").columns == ["doc_id", "text", "n_chars"]
+    monkeypatch.setattr(pii, "_name", lambda e, key: F.lit("Same"))
+    with pytest.raises(RuntimeError, match="name 1"):
+        corpus_pipeline.private(spark, df, "")
