@@ -8,7 +8,7 @@ labelled texts best is taken. A stratum without enough labelled texts has no cut
 
 Defined cases: a null text has no words; labels are joined by doc_id, a document labelled twice is good only if all its labels
 are; null labels and labels without a document count for nothing; documents with equal ids are judged one by one; a null
-language is a stratum; the STRATA - 1 languages with most labels stand alone, all others form one stratum together.
+language is a stratum; every language is one of its own, and one without labels rejects nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, let, words_of
 
-RISK, DELTA, STRATA = 0.05, 0.05, 64
+RISK, DELTA = 0.05, 0.05
 #: Cutoffs are GRID equal steps of the score from 0 to 1.
 GRID = 20
 WINDOW = 5
@@ -84,39 +84,29 @@ def _allowed(n: Column, tests: Column, risk: float, delta: float) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor(n * risk).cast("long")), start, add, lambda a: a["k"])
 
 
-def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, strata: int = STRATA) -> tuple[DataFrame, DataFrame]:
-    """(languages that stand alone, cutoff of each stratum), both of at most `strata` rows, from scored(doc_id, stratum, score)."""
+def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, c), the cutoff of each stratum that has one, from scored(doc_id, stratum, score)."""
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     step = F.least(F.ceil(F.col("score") * GRID), F.lit(GRID + 1)).cast("int")
     counted = cut(scored.join(truth, "doc_id").groupBy("stratum", step.alias("step")).agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad")), "holdout")
-    alone = counted.groupBy("stratum").agg(F.sum(F.col("good") + F.col("bad")).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("stratum")).limit(strata - 1).select("stratum", F.lit(True).alias("alone"))
-    pooled = _pooled(counted, alone).groupBy("stratum", "alone", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    of = pooled.groupBy("stratum", "alone").agg(F.sum("good").alias("n"), F.collect_list(F.struct("step", "good", "bad")).alias("steps"))  # at most GRID + 2 steps each
+    of = counted.groupBy("stratum").agg(F.sum("good").alias("n"), F.collect_list(F.struct("step", "good", "bad")).alias("steps"))  # at most GRID + 2 steps each
     tests = of.agg((F.count("*") * GRID).alias("tests"))
     above = lambda c, what: F.aggregate(F.filter("steps", lambda x: x["step"] > c), F.lit(0).cast("long"), lambda a, x: a + x[what])
     tried = (
         of.join(F.broadcast(tests)).withColumn("allowed", _allowed(F.col("n"), F.col("tests"), risk, delta))
         .withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(GRID))))
-        .select("stratum", "alone", "c", "allowed", above(F.col("c"), "good").alias("lost"), above(F.col("c"), "bad").alias("caught"))
+        .select("stratum", "c", "allowed", above(F.col("c"), "good").alias("lost"), above(F.col("c"), "bad").alias("caught"))
         .where("lost <= allowed and caught > lost")
     )
-    best = tried.groupBy("stratum", "alone").agg(F.max(F.struct(F.col("caught") - F.col("lost"), "c"))["c"].alias("c"))
-    return cut(alone, "strata"), cut(best, "cutoffs").limit(strata)
+    return cut(tried.groupBy("stratum").agg(F.max(F.struct(F.col("caught") - F.col("lost"), "c"))["c"].alias("c")), "cutoffs")
 
 
-def _pooled(df: DataFrame, alone: DataFrame) -> DataFrame:
-    """df with `alone`, and a null stratum where it doesn't stand alone. alone has a bounded number of rows."""
-    named = F.broadcast(alone.withColumnRenamed("stratum", "own"))
-    joined = df.join(named, F.col("stratum").eqNullSafe(F.col("own")), "left")
-    return joined.withColumn("alone", F.coalesce("alone", F.lit(False))).withColumn("stratum", F.when(F.col("alone"), F.col("stratum"))).drop("own")
-
-
-def _judged(scored: DataFrame, alone: DataFrame, best: DataFrame, hidden: str = "") -> DataFrame:
-    """scored with `kept`; the two small tables have at most STRATA rows each."""
-    on = F.broadcast(best.select(F.col("stratum").alias("s"), F.col("alone").alias("a"), "c"))
-    out = _pooled(scored, alone).join(on, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("alone") == F.col("a")), "left")
+def _judged(scored: DataFrame, best: DataFrame) -> DataFrame:
+    """scored with `kept`. The cutoffs have a row per language: Spark broadcasts them while they are small."""
+    own = best.select(F.col("stratum").alias("s"), "c")
+    out = scored.join(own, F.col("stratum").eqNullSafe(F.col("s")), "left")
     passed = F.coalesce(F.ceil(F.col("score") * GRID) <= F.col("c"), F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & passed).drop("s", "a", "c", "alone", "stratum", "score")
+    return out.withColumn("kept", ~F.col("base_failed") & passed).drop("s", "c", "stratum", "score")
 
 
 def _scored(docs: DataFrame) -> DataFrame:
@@ -128,16 +118,16 @@ def _scored(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every document. The measures are written once: texts are read in one pass."""
     scored = cut(_scored(docs), "measures")
-    alone, best = cutoffs(scored.select("doc_id", "stratum", "score"), labels)
-    return _judged(scored, alone, best)
+    best = cutoffs(scored.select("doc_id", "stratum", "score"), labels)
+    return _judged(scored, best)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns. Texts are measured twice rather than shuffled."""
-    alone, best = cutoffs(_scored(docs).select("doc_id", "stratum", "score"), labels)
+    best = cutoffs(_scored(docs).select("doc_id", "stratum", "score"), labels)
     m = F.col("_m")
     inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang").alias("stratum"), measures(F.col("text")).alias("_m")).select("_row", "stratum", base_failed(m).alias("base_failed"), score(m).alias("score"))
-    return _judged(inner, alone, best).where("kept").select("_row.*")
+    return _judged(inner, best).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

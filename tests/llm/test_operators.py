@@ -320,3 +320,18 @@ def test_collisions_stop_the_run(spark, monkeypatch):
     monkeypatch.setattr(pii, "_name", lambda e, key: F.lit("Same"))
     with pytest.raises(RuntimeError, match="name 1"):
         corpus_pipeline.private(spark, df, "")
+
+
+def test_every_language_is_a_stratum(spark):
+    """Failed when languages after the first 63 were judged together, those without labels too."""
+    langs = [f"l{i:02d}" for i in range(70)]
+    rows = [(f"{g}-{i}", g, (0.0 if i < 260 else 0.9) if k < 67 else (0.9 if i < 260 else 0.0)) for k, g in enumerate(langs) for i in range(310 - k % 2)]
+    scored = spark.createDataFrame([*rows, ("new", "zz", 0.9), ("none", None, 0.9)], "doc_id string, stratum string, score double")
+    labels = spark.createDataFrame([(d, int(int(d.split("-")[1]) < 260)) for d, _, _ in rows], "doc_id string, quality int")
+    best = quality.cutoffs(scored, labels)
+    assert sorted(r.stratum for r in best.collect()) == langs[:67]
+    from pyspark.sql import functions as F
+
+    judged = quality._judged(scored.withColumn("base_failed", F.lit(False)), best).collect()
+    gone = {r.doc_id for r in judged if not r.kept}
+    assert gone == {d for d, g, s in rows if s > 0.5 and g in langs[:67]} and len(judged) == len(rows) + 2
