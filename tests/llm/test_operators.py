@@ -335,3 +335,47 @@ def test_every_language_is_a_stratum(spark):
     judged = quality._judged(scored.withColumn("base_failed", F.lit(False)), best).collect()
     gone = {r.doc_id for r in judged if not r.kept}
     assert gone == {d for d, g, s in rows if s > 0.5 and g in langs[:67]} and len(judged) == len(rows) + 2
+
+
+def test_quality_counts_equal_brute_force(spark, docs):
+    import re
+
+    import regex
+
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    more = ["# a * b\n# a * b\n\nWOW! " + "one two three four five six " * 3, "x\nx\nx", "a b c d e " * 4 + "tail"]
+    both = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(100 + i, t, "en") for i, t in enumerate(more)], "doc_id long, text string, lang string"))
+
+    def counts(d, t):
+        t = t or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        seen = Counter(windows)
+        covered = {i + j for i, x in enumerate(windows) if seen[x] > 1 for j in range(5)}
+        return d, len(w), sum(map(len, w)), len(regex.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+    got = quality.judge(both, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+    assert ordered(got) == ordered(counts(d, t) for d, t, _ in both.collect())
+
+
+def test_mixing_comes_near_its_targets(spark):
+    rows = [(i, "w " * (1 + i * 7 % 40), ["a", "b", "c"][min(i % 10 // 4, 2)]) for i in range(600)]
+    got = mixing.shares(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source, sizes, taken, target = {r[0]: r[2] for r in rows}, Counter(), Counter(), {}
+    for r in got:
+        assert r["size"] == len(rows[r.doc_id][1].split())
+        sizes[source[r.doc_id]] += r["size"]
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    # Shared by weight 5, 2, 1 with at most two epochs: what full sources leave goes to the others.
+    left, want, weights = 1.5 * sum(sizes.values()), {}, {"a": 5, "b": 2, "c": 1}
+    while weights:
+        full = [s for s, w in weights.items() if left * w / sum(weights.values()) >= 2 * sizes[s]]
+        if not full:
+            want |= {s: left * w / sum(weights.values()) for s, w in weights.items()}
+            break
+        want |= {s: 2 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        weights = {s: w for s, w in weights.items() if s not in full}
+    assert all(abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= 40 for s in want)
