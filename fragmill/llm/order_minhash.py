@@ -6,20 +6,21 @@ hashed. Texts agree in a band when they share its least k-mers in the same order
 The likeness of two fingerprints is the share of equal bands among those filled in either.
 
 Defined cases: null, empty and blank texts have the empty fingerprint of "-" bands, and likeness 1 with each other, 0 with others;
-under K words form one k-mer; equal texts have equal fingerprints; documents of equal id are ordered by the hash of their text;
-rows with a null id come last in descending order; a single document is its own next one; an empty table gives no rows.
+under K words form one k-mer; equal texts have equal fingerprints; documents of equal id are ordered by the hash of their text, and
+of rows equal in id and text each but one is followed by a copy; rows with a null id come last in descending order; a single document
+is its own next one; an empty table gives no rows; other columns, whatever their names, are ignored; a text is held whole in one row.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, let, words_of
+from .common import cut, documents, drop, let, shuffle_partitions, words_of
 
 K, BANDS, LENGTH = 3, 32, 2
-#: Width of id ranges in which neighbours are found; the ranges themselves are a thousandfold fewer rows than documents.
-RANGE = 4096
 
 
 def _numbered(words: Column) -> Column:
@@ -71,34 +72,52 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """key, next_key for rows(doc_id, key): the next row by descending doc_id, then key; after the last row the first."""
-    each = rows.withColumn("r", F.floor(F.col("doc_id") / RANGE))
-    inside = Window.partitionBy("r").orderBy(F.desc_nulls_last("doc_id"), "key")
-    led = cut(each.select("r", "doc_id", "key", F.lead("key").over(inside).alias("inner"), F.row_number().over(inside).alias("n")), "led")
-    heads = led.where("n = 1").select("r", F.col("key").alias("head"))
-    order = Window.orderBy(F.desc_nulls_last("r"))
-    first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = heads.select(F.col("r").alias("at"), F.coalesce(F.lead("head").over(order), first).alias("after"))
-    return led.join(after, F.col("r").eqNullSafe(F.col("at"))).select("key", F.coalesce("inner", "after").alias("next_key"))
+    """a, b, next_a, next_b for distinct rows(doc_id, a, b): the next row by descending doc_id, then a and b; after the last row the first.
+
+    Rows are dealt to ranges of the order and numbered inside them; only the first row of each range, one for each partition, comes to the driver.
+    """
+    spark = rows.sparkSession
+    order = [F.desc_nulls_last("doc_id"), F.asc("a"), F.asc("b")]
+    ranged = cut(rows.select("doc_id", "a", "b").repartitionByRange(shuffle_partitions(spark), *order).withColumn("part", F.spark_partition_id()), "ranges")
+    heads = ranged.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("d"), "a", "b")).alias("x")).select("part", "x.a", "x.b").collect()
+    heads.sort()
+    after = [(h.part, n.a, n.b) for h, n in zip(heads, heads[1:] + heads[:1], strict=True)]
+    inside = Window.partitionBy("part").orderBy(*order)
+    led = ranged.select("part", "a", "b", F.lead(F.struct("a", "b")).over(inside).alias("inner"))
+    known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(("part", "next_a", "next_b"), x, strict=True)) for x in after])), "array<struct<part:int,next_a:bigint,next_b:bigint>>")))
+    return led.join(F.broadcast(known), "part").select("a", "b", F.coalesce("inner.a", "next_a").alias("next_a"), F.coalesce("inner.b", "next_b").alias("next_b"))
 
 
 def edited(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Texts move once: each sends what its predecessor needs of it, and its own first two thirds.
+    Rows are named by two hashes of id and text; equal rows are one name with a count, each the next of the one before. Texts are
+    dealt out twice: whole, so that each sends its predecessor what the edit needs, and the first two thirds, which get that.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.struct(F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m")))
-    printed_rows = cut(rows.select("doc_id", "key", F.length("text").cast("long").alias("n"), bands(F.col("text")).alias("f"), "text"), "prints")
-    narrow = printed_rows.select("doc_id", "key", "n", "f")
-    pairs = neighbours(narrow.select("doc_id", "key"))
-    pairs = cut(pairs.join(narrow.select("key", "n"), "key"), "pairs")
-    needed = printed_rows.join(pairs.select(F.col("next_key").alias("key"), F.col("key").alias("of"), F.col("n").alias("of_n")), "key")
-    tails = needed.select("of", F.col("f").alias("next_f"), F.substring("text", F.lit(1), F.floor(F.col("of_n") / 3).cast("int")).alias("tail"))
-    own = printed_rows.select("doc_id", "key", "n", "f", F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int")).alias("head"))
-    both = own.join(tails, F.col("key") == F.col("of")).withColumn("edit", F.concat("head", "tail"))
-    both = both.select("doc_id", F.col("n").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), "f", "next_f", bands(F.col("edit")).alias("e"))
-    return both.select("doc_id", "n_chars", "edited_sha256", printed(F.col("f")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"))
+    rows = rows.select("doc_id", "text", F.xxhash64(F.lit("a"), "doc_id", "text").alias("a"), F.xxhash64(F.lit("b"), "text", "doc_id").alias("b"))
+    prints = cut(rows.select("doc_id", "a", "b", F.length("text").alias("n"), bands(F.col("text")).alias("f")), "prints")
+    one = cut(prints.groupBy("a", "b").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("f").alias("f"), F.count("*").alias("copies")), "named")
+    drop(prints)
+    repeated = bool(one.where("copies > 1").take(1))
+    following = one.select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.col("f").alias("next_f"))
+    pairs = neighbours(one).join(one.select("a", "b", "n", "f", "copies"), ["a", "b"]).join(following, ["next_a", "next_b"])
+    pairs = cut(pairs.select("a", "b", "next_a", "next_b", F.floor(F.col("n") / 3).cast("int").alias("m"), "f", likeness(F.col("f"), F.col("next_f")).alias("near"), "copies"), "pairs")
+    drop(one)
+    tails = rows.select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), "text").join(pairs, ["next_a", "next_b"])
+    tails = tails.select("a", "b", "m", "f", "near", "copies", F.substring("text", F.lit(1), F.col("m")).alias("tail"))
+    tails = cut(tails.dropDuplicates(["a", "b"]) if repeated else tails, "tails")
+    drop(pairs)
+    own = rows.select("doc_id", "a", "b", F.length("text").alias("n"), F.substring("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 3).cast("int")).alias("head"))
+    both = own.join(tails, ["a", "b"])
+    if repeated:
+        # Of equal rows the first in order is followed by the next text, the others by a copy of their own.
+        same = both.where("copies > 1").dropDuplicates(["a", "b"]).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        same = same.withColumn("tail", F.when(F.col("i") == 1, F.col("tail")).otherwise(F.substring("head", F.lit(1), F.col("m")))).withColumn("near", F.when(F.col("i") == 1, F.col("near")).otherwise(1.0))
+        both = both.where("copies = 1").unionByName(same.drop("i"))
+    both = both.withColumn("edit", F.concat("head", "tail"))
+    both = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), "f", "near", bands(F.col("edit")).alias("e"))
+    return both.select("doc_id", "n_chars", "edited_sha256", printed(F.col("f")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), F.col("near").alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
