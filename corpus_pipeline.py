@@ -33,8 +33,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    back = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), *how), *how)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), *how)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("pii", private), ("mixing", mixed), ("bpe", tokens)]
