@@ -28,7 +28,7 @@ K, LEVEL = 5, 75
 KEYS = 4
 #: Counters of the frequency sketch that orders tokens; its size doesn't depend on the corpus.
 SKETCH = 1 << 18
-MEMO = 1 << 20
+MEMO = 1 << 18
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _words: dict[bytes, int] = {}
 
