@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, drop, pieces, runs
 from .shingle_join import word_hashes
 
-ORDER, SHARD = 6, 4_000_000
+ORDER, SHARD = 6, 8_000_000
 #: Bytes of text that a worker takes at once.
 SLICE = 2 << 20
 #: Symbols of nine bits: bytes, the end, and what stands before a text.
