@@ -11,7 +11,8 @@ from fragmill import catalog
 sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
 spark = SparkSession.builder.master(f"local[{cpus}]").config(map={"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g"}).getOrCreate()
 took = {}
-for name in ("search_topk", "search_threshold", "search_topk_window", "tree_bounds", "tree_envelopes", "normalise"):
+catalog.queries()["search_topk"](spark, "/root/testdata/sf0.001").collect()  # starts the session's code
+for name in ("search_topk", "search_threshold", "search_topk_window", "tree_bounds", "tree_envelopes", "normalise", "search_pruned_threshold"):
     began = time.time()
     catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
     took[name] = round(time.time() - began, 3)

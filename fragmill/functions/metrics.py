@@ -34,3 +34,55 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 def power_law(df: DataFrame, x: str, y: str) -> DataFrame:
     a, b = F.log10(x), F.log10(y)
     return df.agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"))
+
+
+def pairwise(df: DataFrame, a: str, b: str, n_a: str, n_b: str, margin: float = 1e-6) -> DataFrame:
+    """How two scorers agree on pairs: errors with their percentiles, the share of equal match counts, and how many pairs differ."""
+    d = F.abs(F.col(a) - F.col(b))
+    p = lambda q: F.percentile(d, F.lit(q))
+    return df.agg(
+        F.count("*").alias("n_pairs"), F.max(d).alias("max_error"), F.avg(d).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"),
+        (F.count_if(F.col(n_a) == F.col(n_b)) / F.count("*")).alias("match_rate"), F.count_if(d > margin).alias("discrepant"),
+    )
+
+
+def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
+    """pearson and spearman; ties get the mean of their ranks; 0 where a side is constant.
+
+    Ranks come from the counts of distinct values, so rows are pre-aggregated and only distinct values meet in the window.
+    """
+    from pyspark.sql import Window
+
+    def ranks(c: str) -> DataFrame:
+        n = df.groupBy(F.col(c).alias(c)).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return n.select(c, (before + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+
+    joined = df.select(a, b).join(ranks(a), a).join(ranks(b), b)
+    safe = lambda x, y: F.when((F.min(x) == F.max(x)) | (F.min(y) == F.max(y)), F.lit(0.0)).otherwise(F.corr(x, y))
+    return joined.agg(F.count("*").alias("n"), safe(a, b).alias("pearson"), safe(f"rank_{a}", f"rank_{b}").alias("spearman"))
+
+
+def hit_overlap(truth: DataFrame, other: DataFrame) -> DataFrame:
+    """query_id, recall, jaccard, overlap (coefficient), top1 of two hit tables (query_id, rank, spectrum_index).
+
+    Of a query without true hits the recall is 0 if anything was found, else 1.
+    """
+    t, o = truth.select("query_id", "spectrum_index", F.col("rank").alias("x")), other.select("query_id", "spectrum_index", F.col("rank").alias("y"))
+    both = t.join(o, ["query_id", "spectrum_index"], "full")
+    n = both.groupBy("query_id").agg(F.count("x").alias("a"), F.count("y").alias("b"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("i"), F.count("*").alias("u"), F.count_if((F.col("x") == 1) & (F.col("y") == 1)).alias("top"))
+    return n.select(
+        "query_id", F.when(F.col("a") > 0, F.col("i") / F.col("a")).otherwise(F.when(F.col("b") > 0, 0.0).otherwise(1.0)).alias("recall"), (F.col("i") / F.col("u")).alias("jaccard"),
+        F.when(F.least("a", "b") > 0, F.col("i") / F.least("a", "b")).otherwise(0.0).alias("overlap"), (F.col("top") > 0).alias("top1"),
+    )
+
+
+def outcome_diff(truth: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: false dismissals, recall, errors of shared hits and how many queries have as many hits, of two hit tables (query_id, spectrum_index, score)."""
+    both = truth.select("query_id", "spectrum_index", F.col("score").alias("x")).join(other.select("query_id", "spectrum_index", F.col("score").alias("y")), ["query_id", "spectrum_index"], "full")
+    d = F.abs(F.col("x") - F.col("y"))
+    n = both.groupBy("query_id").agg(F.count("x").alias("a"), F.count("y").alias("b"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("i"), F.sum(d).alias("sum"), F.max(d).alias("most"))
+    return n.agg(
+        F.count("*").alias("n_queries"), F.sum(F.col("a") - F.col("i")).alias("false_dismissals"), F.avg(F.when(F.col("a") > 0, F.col("i") / F.col("a")).otherwise(1.0)).alias("mean_recall"),
+        F.coalesce(F.max("most"), F.lit(0.0)).alias("max_error"), F.coalesce(F.sum("sum") / F.sum("i"), F.lit(0.0)).alias("mean_error"), (F.count_if(F.col("a") == F.col("b")) / F.count("*")).alias("hit_count_match_rate"),
+    )

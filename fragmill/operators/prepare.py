@@ -24,6 +24,7 @@ def normalise(peaks: DataFrame, alpha: float = 1.0, beta: float = 0.0) -> DataFr
     y = F.when(y > 0, F.lit(1.0)).otherwise(0.0) if alpha == 0 else F.pow(y, F.lit(alpha)) if alpha != 1 else y
     if beta:
         y = F.when(F.col("mass") > 0, y * F.pow("mass", F.lit(beta))).otherwise(0.0)
+    y = F.when(F.isnan(y) | (F.abs(y) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(y, F.lit(0.0)))
     norm = F.sqrt(F.sum(F.col("y") * F.col("y")).over(Window.partitionBy("row")))
     return peaks.withColumn("y", y).withColumn("norm", norm).select("row", "peak_id", "mass", F.when(F.col("norm") > 0, F.col("y") / F.col("norm")).otherwise(0.0).alias("v"), "norm")
 
@@ -37,11 +38,29 @@ def cells(peaks: DataFrame, grid: float = GRID) -> DataFrame:
     return peaks.groupBy("row", cell(F.col("mass"), grid).alias("cell")).agg(F.sum(F.col("v") * F.col("v")).alias("energy")).where("energy > 0")
 
 
-def members(spectra: DataFrame, cells: DataFrame, capacity: int = TREE) -> DataFrame:
-    """row, ion_mode, tree_id, precursor_mz: per ion mode in order of precursor, id and row, `capacity` to a tree. Rows without energy are left out."""
-    live = spectra.join(cells.select("row").distinct(), "row", "left_semi")
-    order = Window.partitionBy("ion_mode").orderBy(F.asc_nulls_last("precursor_mz"), "external_id", "row")
-    return live.withColumn("tree_id", F.floor((F.row_number().over(order) - 1) / capacity)).select("row", "external_id", "ion_mode", "tree_id", "precursor_mz")
+def clean_library(spectra: DataFrame, peaks: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """(peaks that stay, rejected(row, external_id, reason)): spectra that cleaning leaves without enough peaks are kept as rejects."""
+    good = clean(peaks, **how)
+    return good, spectra.join(good.select("row").distinct(), "row", "left_anti").select("row", "external_id", F.lit("unparseable").alias("reason"))
+
+
+def clean_metadata(spectra: DataFrame) -> DataFrame:
+    """row, external_id, precursor_mz, ion_mode, charge: the mode from the charge's sign where it is unknown, then the sign from the mode; 0 is no charge, and a precursor that isn't above 0 is none."""
+    c = F.when(F.col("charge") != 0, F.col("charge"))
+    mode = F.when((F.col("ion_mode") == "unknown") & (c > 0), "positive").when((F.col("ion_mode") == "unknown") & (c < 0), "negative").otherwise(F.col("ion_mode"))
+    known = spectra.withColumn("charge", c).withColumn("ion_mode", mode)
+    signed = F.when(F.col("ion_mode") == "positive", F.abs("charge")).when(F.col("ion_mode") == "negative", -F.abs("charge")).otherwise(F.col("charge"))
+    return known.select("row", "external_id", F.when(F.col("precursor_mz") > 0, F.col("precursor_mz")).alias("precursor_mz"), "ion_mode", signed.alias("charge"))
+
+
+def denormalised(peaks: DataFrame) -> DataFrame:
+    """row, peak_id, mass, intensity as before normalisation."""
+    return peaks.select("row", "peak_id", "mass", (F.col("v") * F.col("norm")).alias("intensity"))
+
+
+def reweighted(peaks: DataFrame, alpha: float) -> DataFrame:
+    """Normalised peaks with another power of the intensity: row, peak_id, mass, v."""
+    return normalise(denormalised(peaks), alpha).drop("norm")
 
 
 def trees(members: DataFrame) -> DataFrame:

@@ -1,11 +1,30 @@
-"""Greedy-cosine search: a band join of peaks by cells, a fold per pair of spectra, and the best hits of each query."""
+"""Greedy-cosine search: a band join of peaks by cells, a fold per pair of spectra, and the best hits of each query.
+
+Every query has its own settings, as columns of queries(query_id, q_mode, exclude_id, pw_center, pw_tol) and, where a search reads
+them, mode ('top_k' or 'threshold'), k, threshold, policy, tolerance and min_matched.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOLERANCE = 0.02
+TOLERANCE, MARGIN = 0.02, 1e-12
+INFLATE = 1 + 1e-12
+EDGE = "array<struct<w:double,q:int,l:int>>"
+
+
+def reach(query_peaks: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """query_peaks with v > 0 as query_id, q_peak, u, low, high and each cell that the window touches; a column `tolerance` beats the argument, which is then the largest."""
+    own = F.col("tolerance") if "tolerance" in query_peaks.columns else F.lit(tolerance)
+    low, high = F.col("mass") - own, F.col("mass") + own
+    q = query_peaks.where("v > 0").select("query_id", F.col("peak_id").alias("q_peak"), F.col("v").alias("u"), low.alias("low"), high.alias("high"))
+    return q.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / (2 * tolerance) - 1e-6), F.floor(F.col("high") / (2 * tolerance) + 1e-6))))
+
+
+def placed(library: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Library peaks of positive amplitude with the cell, twice as wide as the tolerance, that they are joined by."""
+    return library.where("v > 0").withColumnRenamed("peak_id", "l_peak").withColumn("cell", F.floor(F.col("mass") / (2 * tolerance)))
 
 
 def edges(queries: DataFrame, library: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -14,73 +33,116 @@ def edges(queries: DataFrame, library: DataFrame, tolerance: float = TOLERANCE)
     Library peaks are keyed by a cell twice as wide as the tolerance and query peaks by the one or two cells they reach, so
     the join is an equi-join that shuffles each library peak once.
     """
-    width = 2 * tolerance
-    low, high = F.col("mass") - F.lit(tolerance), F.col("mass") + F.lit(tolerance)
-    q = queries.where("v > 0").select("query_id", F.col("peak_id").alias("q_peak"), F.col("v").alias("u"), low.alias("low"), high.alias("high"))
-    q = q.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width - 1e-6), F.floor(F.col("high") / width + 1e-6))))
-    lib = library.where("v > 0").select("row", F.col("peak_id").alias("l_peak"), "mass", "v", F.floor(F.col("mass") / width).alias("cell"))
-    return q.join(lib, "cell").where("mass between low and high").select("query_id", "row", "q_peak", "l_peak", (F.col("u") * F.col("v")).alias("w"))
+    lib = placed(library.select("row", "peak_id", "mass", "v"), tolerance)
+    return reach(queries, tolerance).join(lib, "cell").where("mass between low and high").select("query_id", "row", "q_peak", "l_peak", (F.col("u") * F.col("v")).alias("w"))
 
 
-def scores(edges: DataFrame) -> DataFrame:
-    """query_id, row, score, n_matched: edges by weight, then peak ids; each peak is used once."""
+def _collected(edges: DataFrame, *keys: str) -> DataFrame:
     one = F.struct((-F.col("w")).alias("w"), F.col("q_peak").alias("q"), F.col("l_peak").alias("l"))
+    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("e"))
+
+
+def _matched(e: Column) -> Column:
+    """struct(s, n) of the edges e, best first: each peak is used once. Where no peak has two edges nothing has to be chosen."""
     empty = F.array().cast("array<int>")
     start = F.struct(empty.alias("q"), empty.alias("l"), F.lit(0.0).alias("s"))
 
-    def take(a: Column, e: Column) -> Column:
-        free = ~F.array_contains(a["q"], e["q"]) & ~F.array_contains(a["l"], e["l"])
-        return F.when(free, F.struct(F.array_append(a["q"], e["q"]).alias("q"), F.array_append(a["l"], e["l"]).alias("l"), (a["s"] - e["w"]).alias("s"))).otherwise(a)
+    def take(a: Column, x: Column) -> Column:
+        free = ~F.array_contains(a["q"], x["q"]) & ~F.array_contains(a["l"], x["l"])
+        return F.when(free, F.struct(F.array_append(a["q"], x["q"]).alias("q"), F.array_append(a["l"], x["l"]).alias("l"), (a["s"] - x["w"]).alias("s"))).otherwise(a)
+
+    alone = (F.size(F.array_distinct(e["q"])) == F.size(e)) & (F.size(F.array_distinct(e["l"])) == F.size(e))
+    plain = F.struct(F.aggregate(e, F.lit(0.0), lambda a, x: a - x["w"]).alias("s"), F.size(e).alias("n"))
+    return F.when(alone, plain).otherwise(F.aggregate(e, start, take, lambda a: F.struct(a["s"].alias("s"), F.size(a["q"]).alias("n"))))
+
+
+def clamped(s: Column) -> Column:
+    return F.when((F.abs(s - 1) <= 1e-12) | (s > 1), F.lit(1.0)).otherwise(s)
 
-    folded = edges.groupBy("query_id", "row").agg(F.sort_array(F.collect_list(one)).alias("e")).select("query_id", "row", F.aggregate("e", start, take).alias("a"))
-    s = F.col("a.s")
-    return folded.select("query_id", "row", F.when((F.abs(s - 1) <= 1e-12) | (s > 1), F.lit(1.0)).otherwise(s).alias("score"), F.size("a.q").alias("n_matched"))
 
+def independent_bound(e: Column) -> Column:
+    """The sum of each query peak's best edge: an upper bound of the score. e is sorted by weight, so a peak's first edge is its best."""
+    start = F.struct(F.array().cast("array<int>").alias("q"), F.lit(0.0).alias("s"))
+    best = lambda a, x: F.when(F.array_contains(a["q"], x["q"]), a).otherwise(F.struct(F.array_append(a["q"], x["q"]).alias("q"), (a["s"] - x["w"]).alias("s")))
+    alone = F.size(F.array_distinct(e["q"])) == F.size(e)
+    return F.when(alone, F.aggregate(e, F.lit(0.0), lambda a, x: a - x["w"])).otherwise(F.aggregate(e, start, best, lambda a: a["s"])) * INFLATE
 
-def eligible(policy: str) -> Column:
-    """Whether a spectrum's ion mode passes a query's, given as columns ion_mode and q_mode."""
+
+def scores(edges: DataFrame) -> DataFrame:
+    """query_id, row, score, n_matched: edges by weight, then peak ids; each peak is used once."""
+    folded = _collected(edges, "query_id", "row").select("query_id", "row", _matched(F.col("e")).alias("a"))
+    return folded.select("query_id", "row", clamped(F.col("a.s")).alias("score"), F.col("a.n").alias("n_matched"))
+
+
+def bounded_scores(edges: DataFrame, theta: DataFrame) -> DataFrame:
+    """query_id, row, bound, scored, score, n_matched: only pairs whose bound reaches theta(query_id, theta) are scored, in the same pass."""
+    e = _collected(edges, "query_id", "row").join(theta, "query_id").withColumn("bound", independent_bound(F.col("e")))
+    e = e.withColumn("scored", ~(F.col("bound") < F.col("theta"))).withColumn("a", F.when(F.col("scored"), _matched(F.col("e"))))
+    return e.select("query_id", "row", "bound", "scored", clamped(F.col("a.s")).alias("score"), F.col("a.n").alias("n_matched"))
+
+
+def eligible(policy: str | Column) -> Column:
+    """Whether a spectrum's ion mode passes a query's, given as columns ion_mode and q_mode. The policy is a name or a column of names."""
+    if isinstance(policy, str):
+        if policy not in ("exact", "include_unknown", "any"):
+            raise ValueError(policy)
+        policy = F.lit(policy)
     same = F.col("ion_mode") == F.col("q_mode")
-    if policy not in ("exact", "include_unknown", "any"):
-        raise ValueError(policy)
-    return F.lit(True) if policy == "any" else same if policy == "exact" else same | (F.col("ion_mode") == "unknown")
+    return F.coalesce((policy == "any") | same | ((policy == "include_unknown") & (F.col("ion_mode") == "unknown")), F.lit(False))
+
+
+def in_window() -> Column:
+    """A window without a centre takes all spectra; one with a centre none without a precursor."""
+    return F.col("pw_center").isNull() | F.coalesce(F.abs(F.col("precursor_mz") - F.col("pw_center")) <= F.col("pw_tol"), F.lit(False))
+
+
+def passes(policy: str | Column) -> Column:
+    return eligible(policy) & in_window() & (F.col("exclude_id").isNull() | (F.col("exclude_id") != F.col("external_id")))
 
 
 def search(queries: DataFrame, query_peaks: DataFrame, peaks: DataFrame, spectra: DataFrame, policy: str = "any", min_matched: int = 1, tolerance: float = TOLERANCE) -> DataFrame:
-    """query_id, external_id, spectrum_index, score, n_matched of every eligible pair.
+    """query_id, external_id, spectrum_index, score, n_matched of every eligible pair, without pruning.
 
-    queries(query_id, q_mode, exclude_id, pw_center, pw_tol). With min_matched 0 pairs without a match count with score 0.
+    With min_matched 0 pairs without a match count with score 0.
     """
     found = scores(edges(query_peaks, peaks, tolerance)).where(F.col("n_matched") >= min_matched)
-    window = F.col("pw_center").isNull() | F.coalesce(F.abs(F.col("precursor_mz") - F.col("pw_center")) <= F.col("pw_tol"), F.lit(False))
-    passes = eligible(policy) & window & (F.col("exclude_id").isNull() | (F.col("exclude_id") != F.col("external_id")))
     if min_matched == 0:
         # Zero scores are asked for, so each query meets each eligible spectrum: that is the result itself.
-        pairs = queries.join(spectra, passes).join(found, ["query_id", "row"], "left").fillna({"score": 0.0, "n_matched": 0})
+        pairs = queries.join(spectra, passes(policy)).join(found, ["query_id", "row"], "left").fillna({"score": 0.0, "n_matched": 0})
     else:
-        pairs = found.join(queries, "query_id").join(spectra, "row").where(passes)
+        pairs = found.join(queries, "query_id").join(spectra, "row").where(passes(policy))
     return pairs.select("query_id", "external_id", F.col("row").alias("spectrum_index"), "score", "n_matched")
 
 
+def ranked(hits: DataFrame) -> DataFrame:
+    """hits with their rank: best score first (to nine places, so that engines agree), then external id, then row."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "external_id", "spectrum_index")))
+
+
 def top_k(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "external_id", "spectrum_index")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked(hits).where(F.col("rank") <= k)
 
 
-def threshold(hits: DataFrame, least: float, margin: float = 1e-12) -> DataFrame:
+def threshold(hits: DataFrame, least: float, margin: float = MARGIN) -> DataFrame:
     return hits.where(F.col("score") >= least - margin)
 
 
 def spectrum_bounds(edges: DataFrame) -> DataFrame:
     """query_id, row, bound: each query peak with its best library peak, an upper bound of the score."""
-    return edges.groupBy("query_id", "row", "q_peak").agg(F.max("w").alias("w")).groupBy("query_id", "row").agg((F.sum("w") * (1 + 1e-12)).alias("bound"))
+    return edges.groupBy("query_id", "row", "q_peak").agg(F.max("w").alias("w")).groupBy("query_id", "row").agg((F.sum("w") * INFLATE).alias("bound"))
 
 
-def tree_bounds(query_peaks: DataFrame, envelopes: DataFrame, tolerance: float = TOLERANCE, grid: float = 0.02) -> DataFrame:
-    """query_id, ion_mode, tree_id, bound: an upper bound of the score of every member of a tree."""
-    low, high = F.floor((F.col("mass") - tolerance) / grid) - 1, F.floor((F.col("mass") + tolerance) / grid) + 1
+def node_bounds(query_peaks: DataFrame, envelopes: DataFrame, *node: str, tolerance: float = TOLERANCE, grid: float = 0.02) -> DataFrame:
+    """query_id, *node, bound: an upper bound of the score of every member of a node (tree or leaf); nodes without a common cell have none."""
+    own = F.col("tolerance") if "tolerance" in query_peaks.columns else F.lit(tolerance)
+    low, high = F.floor((F.col("mass") - own) / grid) - 1, F.floor((F.col("mass") + own) / grid) + 1
     q = query_peaks.where("v > 0").select("query_id", "peak_id", "v", F.explode(F.sequence(low, high)).alias("cell"))
-    best = q.join(envelopes, "cell").groupBy("query_id", "ion_mode", "tree_id", "peak_id").agg((F.first("v") * F.max("amp")).alias("b"))
-    return best.groupBy("query_id", "ion_mode", "tree_id").agg((F.sum("b") * (1 + 1e-12)).alias("bound"))
+    best = q.join(envelopes, "cell").groupBy("query_id", *node, "peak_id").agg((F.first("v") * F.max("amp")).alias("b"))
+    return best.groupBy("query_id", *node).agg((F.sum("b") * INFLATE).alias("bound"))
+
+
+def tree_bounds(query_peaks: DataFrame, envelopes: DataFrame, tolerance: float = TOLERANCE, grid: float = 0.02) -> DataFrame:
+    return node_bounds(query_peaks, envelopes, "ion_mode", "tree_id", tolerance=tolerance, grid=grid)
 
 
 def binned(query_peaks: DataFrame, peaks: DataFrame, width: float = 0.001, reach: int = 20) -> DataFrame:

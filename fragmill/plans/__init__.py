@@ -1 +1 @@
-"""fragmill.plans"""
+"""Plans made of several operators."""
