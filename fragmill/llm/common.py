@@ -23,9 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a local one is set."""
+    """The folder that driver and executors share. Only in local mode without that setting (tests) a local one is set; on a cluster that would be lost."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="fragmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, rolling
+from .common import cut, documents, drop, rolling
 from .repeats import WINDOW, applied, keyed, places, recurring
 from .shingle_join import word_hashes
 
@@ -40,7 +40,7 @@ def _symbols(text: str) -> np.ndarray:
 
 def _phrases(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(anchor, phrase): the text of each recurring phrase, from its first document."""
-    wanted = found.where("doc_id = first").groupBy("u").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = found.where("doc_id = first").groupBy("u").agg(F.collect_set("anchor").alias("anchors"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,11 +97,15 @@ def starts(rows: DataFrame) -> DataFrame:
     """(u, starts): where the windows begin that an earlier document has."""
     found = recurring(rows, _symbols, PHRASE, "phrases")
     phrases = cut(_phrases(rows, found), "phrase-texts")
-    own = found.select("u", "anchor").join(phrases, "anchor").groupBy("u").agg(F.collect_list("phrase").alias("phrases"))
+    own = found.select("u", "anchor").join(phrases, "anchor").groupBy("u").agg(F.collect_set("phrase").alias("phrases"))
     routed = rows.where("doc_id is not null").join(own, "u").dropDuplicates(["u"]).select("text", "doc_id", "u", "phrases")
-    windows = cut(routed.mapInArrow(_windows, "w long, doc_id long, u long, start long"), "windows")
+    windows = routed.mapInArrow(_windows, "w long, doc_id long, u long, start long")
+    windows = cut(windows, "windows")
+    drop(found, phrases)
     first = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("w", "first")
-    return windows.join(first, "w").where("first < doc_id").groupBy("u").agg(F.collect_list("start").alias("starts"))
+    out = cut(windows.join(first, "w").where("first < doc_id").groupBy("u").agg(F.collect_list("start").alias("starts")), "starts")
+    drop(windows)
+    return out
 
 
 def _remove(text: str, starts: np.ndarray) -> tuple[int, int, str]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, rolling, sliding_min
+from .common import U64, cut, drop, rolling, sliding_min
 
 WINDOW = 50
 
@@ -36,7 +36,14 @@ def places(symbols: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(symbols: np.ndarray, k: int) -> np.ndarray:
-    return np.unique(least_hashes(symbols, k))
+    least = least_hashes(symbols, k)
+    # Neighbouring windows mostly choose the same string.
+    return np.unique(least[runs_of(least)])
+
+
+def runs_of(values: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -45,7 +52,7 @@ def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def recurring(rows: DataFrame, symbols: Callable[[str], np.ndarray], k: int, name: str) -> DataFrame:
-    """(u, doc_id, anchor, first): the anchors of each document that occur in two documents, and the first document of each."""
+    """(u, doc_id, anchor, first): the anchors of each row that occur in two documents, and the first document of each; equal rows give equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,9 +61,13 @@ def recurring(rows: DataFrame, symbols: Callable[[str], np.ndarray], k: int, nam
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "u": batch.column(1), "anchors": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), flat)})
 
     held = rows.where("doc_id is not null").mapInArrow(run, "doc_id long, u long, anchors array<long>")
-    each = cut(held, f"{name}-anchors").select("doc_id", "u", F.explode("anchors").alias("anchor"))
+    held = cut(held, f"{name}-anchors")
+    each = held.select("doc_id", "u", F.explode("anchors").alias("anchor"))
     many = each.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("anchor", "first")
-    return cut(each.join(cut(many, f"{name}-many"), "anchor").distinct(), f"{name}-recurring")
+    many = cut(many, f"{name}-many")
+    out = cut(each.join(many, "anchor"), f"{name}-recurring")
+    drop(held, many)
+    return out
 
 
 def covered(starts: np.ndarray, n: int) -> tuple[np.ndarray, int]:
@@ -69,7 +80,7 @@ def covered(starts: np.ndarray, n: int) -> tuple[np.ndarray, int]:
 
 
 def applied(rows: DataFrame, removed: DataFrame, remove: Callable[[str, np.ndarray], tuple], schema: str, name: str) -> DataFrame:
-    """Every row through remove(text, starts). removed: (u, starts) for the rows that lose something; only their texts are moved."""
+    """Every row through remove(text, starts). removed: a written table (u, starts) of the rows that lose something; only their texts are moved."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +92,6 @@ def applied(rows: DataFrame, removed: DataFrame, remove: Callable[[str, np.ndarr
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "u": batch.column(1)} | {c: pa.array(x, pa.string() if c.endswith(("256", "kept")) else pa.int64()) for c, x in zip(names, columns, strict=True)})
 
     full = f"doc_id long, u long, {schema}"
-    removed = cut(removed, f"{name}-removed")
     plain = cut(rows.mapInArrow(run, full), f"{name}-plain")
     cutaway = rows.where("doc_id is not null").join(removed, "u").select("doc_id", "u", "text", "starts").dropDuplicates(["u"]).mapInArrow(run, full)
     less = cutaway.select(F.col("u").alias("v"), *[F.col(c).alias(f"_{c}") for c in names])

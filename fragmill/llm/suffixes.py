@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, documents, shuffle_partitions
-from .repeats import WINDOW, applied, covered, keyed, least_hashes, recurring
+from .common import U64, cut, documents, drop, shuffle_partitions
+from .repeats import WINDOW, applied, covered, keyed, least_hashes, recurring, runs_of
 
 ANCHOR = 24
 #: Every residue is a difference of two of COVER, modulo PERIOD.
@@ -39,20 +39,23 @@ def _symbols(text: str) -> np.ndarray:
     return _bytes(text).astype(U64)
 
 
-def _packed(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The PERIOD bytes from each place, as one number. text ends in PERIOD zeros or more."""
-    out = np.zeros(len(at), np.int64)
-    for d in range(PERIOD):
-        out = (out << 8) | text[at + d]
-    return out
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, in their order. text ends in eight zeros or more."""
+    each = np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1))
+    return np.ascontiguousarray(each).view(">u8").ravel().astype(U64)
+
 
+def _packed(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The PERIOD bytes from each place, as one number."""
+    return (words[at] >> U64(8 * (8 - PERIOD))).astype(np.int64)
 
-def sample_ranks(text: np.ndarray) -> np.ndarray:
-    """Ranks of the cover sample's suffixes by WINDOW bytes or more; -1 elsewhere. text ends in zeros."""
-    n = len(text) - PERIOD
+
+def sample_ranks(words: np.ndarray) -> np.ndarray:
+    """Ranks of the cover sample's suffixes by WINDOW bytes or more; -1 elsewhere. The text ends in zeros."""
+    n = len(words)
     at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
     rank = np.full(n + WINDOW * 2, -1, np.int64)
-    rank[at] = np.unique(_packed(text, at), return_inverse=True)[1]
+    rank[at] = np.unique(_packed(words, at), return_inverse=True)[1]
     depth = PERIOD
     while depth < WINDOW:
         pair = rank[at] * (len(at) + 2) + rank[at + depth] + 1
@@ -63,14 +66,15 @@ def sample_ranks(text: np.ndarray) -> np.ndarray:
 
 def sorted_buckets(text: np.ndarray, places: np.ndarray, most: int = BUCKET) -> Iterator[np.ndarray]:
     """The places in order of their suffixes (by WINDOW bytes at least), a bucket at a time."""
-    rank = sample_ranks(text)
+    words = _words(text)
+    rank = sample_ranks(words)
     lead = (text[places].astype(np.int64) << 8) | text[places + 1]
     sizes = np.bincount(lead, minlength=1 << 16)
     bucket = np.cumsum(sizes) // most
     of = bucket[lead]
     for b in np.unique(of):
         at = places[of == b]
-        key = _packed(text, at)
+        key = _packed(words, at)
         order = np.argsort(key, kind="stable")
         at, key = at[order], key[order]
         group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
@@ -80,14 +84,22 @@ def sorted_buckets(text: np.ndarray, places: np.ndarray, most: int = BUCKET) ->
 def _ties(at: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """An order of `at` that keeps groups in order and sorts inside them by the sample's ranks: places are counted class by class."""
     residue, scale = at % PERIOD, len(rank) + 2
-    members = [np.flatnonzero(residue == r) for r in range(PERIOD)]
-    key = lambda m, d: group[m] * scale + rank[at[m] + d] + 1
     before = np.zeros(len(at), np.int64)
+    own = {}
+    for r in range(PERIOD):
+        members = np.flatnonzero(residue == r)
+        # A class is sorted once for each of the offsets that bring it into the sample.
+        for d in range(PERIOD):
+            if len(members) and (r + d) % PERIOD in COVER:
+                key = group[members] * scale + rank[at[members] + d] + 1
+                order = np.argsort(key)
+                own[r, d] = members[order], key[order]
     for a in range(PERIOD):
         for b in range(PERIOD):
-            if len(members[a]) and len(members[b]):
-                d = OFFSET[a][b]
-                before[members[a]] += np.searchsorted(np.sort(key(members[b], d)), key(members[a], d), "left")
+            d = OFFSET[a][b]
+            if (a, d) in own and (b, d) in own:
+                members, key = own[a, d]
+                before[members] += np.searchsorted(own[b, d][1], key, "left")
     return np.argsort(before, kind="stable")
 
 
@@ -102,12 +114,14 @@ def first_documents(segments: list[bytes], first: np.ndarray) -> list[np.ndarray
     places = offsets[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     doc = np.full(len(text), np.iinfo(np.int64).max)
     doc[places] = first[owner]
-    out = doc.copy()
+    out, words = doc.copy(), _words(text)
     for at in sorted_buckets(text, places):
         new = np.zeros(len(at), bool)
         new[0] = True
-        for d in range(WINDOW):
-            new[1:] |= text[at[1:] + d] != text[at[:-1] + d]
+        # Eight bytes at a time; the last ones overlap.
+        for d in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+            here = words[at + d]
+            new[1:] |= here[1:] != here[:-1]
         begin = np.flatnonzero(new)
         out[at] = np.repeat(np.minimum.reduceat(doc[at], begin), np.diff([*begin, len(at)]))
     return [out[o : o + c] for o, c in zip(offsets, counts, strict=True)]
@@ -119,11 +133,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, doc, u, anchors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = _bytes(text)
             least = least_hashes(raw.astype(U64), ANCHOR).view(np.int64)
-            hit = np.isin(least, np.array(anchors, np.int64))
-            edge = np.concatenate(([True], (least[1:] != least[:-1]))) if len(least) else np.empty(0, bool)
-            begin = np.flatnonzero(edge)
+            begin = runs_of(least)
             end = np.concatenate((begin[1:], [len(least)]))
-            live = hit[begin]
+            live = np.isin(least[begin], np.array(anchors, np.int64))
             begin, end = begin[live], end[live]
             data = raw.tobytes()
             n = len(begin)
@@ -139,9 +151,10 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
 def starts(rows: DataFrame) -> DataFrame:
     """(u, starts): where the 50-byte strings begin that an earlier document has."""
     found = recurring(rows, _symbols, ANCHOR, "suffix")
-    own = found.groupBy("u").agg(F.collect_list("anchor").alias("anchors"))
+    own = found.groupBy("u").agg(F.collect_set("anchor").alias("anchors"))
     routed = rows.where("doc_id is not null").join(own, "u").dropDuplicates(["u"]).select("text", "doc_id", "u", "anchors")
     all_segments = cut(routed.mapInArrow(_segments, "anchor long, doc_id long, u long, start long, segment binary"), "segments")
+    drop(found)
     distinct = all_segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"))
     distinct = cut(distinct, "distinct")
     hot = cut(distinct.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("anchor"), "hot")
@@ -159,10 +172,13 @@ def starts(rows: DataFrame) -> DataFrame:
     dealt = cold.select(F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block"), name, "segment", "first").unionByName(
         windows.groupBy("anchor", "segment").agg(F.min("first").alias("first")).select(F.pmod(F.xxhash64("segment"), F.lit(blocks)).alias("block"), name, "segment", "first"))
     firsts = cut(dealt.groupBy("block").applyInPandas(_block, "name long, firsts array<long>"), "firsts")
+    drop(distinct)
     places, one = split(all_segments)
     held = places.select(name, "doc_id", "u", "start").unionByName(one.select(name, "doc_id", "u", (F.col("start") + F.col("i")).alias("start")))
     lost = held.join(firsts, "name").select("u", F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("s")).where(F.size("s") > 0)
-    return lost.groupBy("u").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    out = cut(lost.groupBy("u").agg(F.flatten(F.collect_list("s")).alias("starts")), "starts")
+    drop(all_segments, firsts, hot)
+    return out
 
 
 def _remove(text: str, starts: np.ndarray) -> tuple[int, int, int, str]:
