@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, order_minhash, phrases, pii, ppm, quality, shingle_join, suffixes
+from . import bpe, licenses, mixing, oracles, order_minhash, phrases, pii, ppm, quality, shingle_join, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_suffix_dedup": oracles.SUFFIXES, "op9_shingle_join": oracles.SHINGLES, "op10_phrase_dedup": oracles.PHRASES}
