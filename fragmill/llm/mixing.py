@@ -8,7 +8,8 @@ The order inside a source is found in two steps, without sorting a source in one
 key, the range where the running sum crosses the budget is known from those sums, and only its documents are sorted.
 
 Defined cases: a null text has size 0; a null source is one of the sources and the last; documents of size 0 are taken with
-their source's epochs and count nothing; equal rows have equal keys and are taken together; an empty table gives no rows. Null ids are hashed as such.
+their source's epochs and count nothing; rows of equal id and text are numbered and draw a key each; an empty table gives no rows. Null
+ids are hashed as such; extra columns, whatever their names, are ignored by shares and kept by mix; only sizes of texts are held.
 """
 
 from __future__ import annotations
@@ -33,10 +34,21 @@ def quality(text: Column, words: Column) -> Column:
 
 
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with _size, _tie and _key. One pass over the texts, no shuffle."""
+    """docs with _size, _weight and _tie, which names id and text. One pass over the texts, no shuffle."""
     n = size(F.col(text))
-    u = ((F.xxhash64(F.lit("mix"), F.col(id), F.col(text)).bitwiseAND(F.lit((1 << 53) - 1))) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return docs.withColumn("_size", n).withColumn("_tie", F.xxhash64(F.col(text), F.col(id))).withColumn("_key", -F.log(u) / quality(F.col(text), F.col("_size")))
+    return docs.withColumn("_size", n).withColumn("_weight", quality(F.col(text), F.col("_size"))).withColumn("_tie", F.xxhash64(F.lit("mix"), F.col(id), F.col(text)))
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """rows with _key, the exponential key of the _i-th of rows with equal _tie."""
+    u = (F.xxhash64("_tie", "_i").bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return rows.withColumn("_key", -F.log(u) / F.col("_weight"))
+
+
+def numbered(narrow: DataFrame) -> DataFrame:
+    """narrow with _i: equal rows are counted before they are dealt out and numbered, so a large group of them is never in one task."""
+    counted = narrow.groupBy(*narrow.columns).agg(F.count("*").alias("_n"))
+    return counted.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
 
 
 def _bin(key: Column) -> Column:
@@ -101,16 +113,26 @@ def copies(rows: DataFrame, planned: DataFrame, source: str = "source") -> DataF
 
 def shares(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    narrow = cut(keyed(docs).select("doc_id", "source", "_size", "_tie", "_key"), "mix-keys")
+    narrow = cut(drawn(numbered(keyed(docs.select("doc_id", "text", "source")).select("doc_id", "source", "_size", "_weight", "_tie"))), "mix-keys")
     out = copies(narrow, plan(narrow))
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each document as many times as it is taken, with its columns."""
-    held = keyed(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", "source")).select("_doc", "source", "_size", "_tie", "_key")
-    planned = plan(keyed(docs).select("source", "_size", "_tie", "_key"))
-    return copies(held, planned).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
+    """The mixed corpus: each document as many times as it is taken, with its columns.
+
+    Only rows that share id and text with others (as a rule none) are dealt out to be numbered.
+    """
+    held = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text", "source")).select("_doc", "source", "_size", "_weight", "_tie")
+    narrow = held.drop("_doc")
+    planned = plan(drawn(numbered(narrow)))
+    again = cut(narrow.groupBy("_tie").agg(F.count("*").alias("_n")).where("_n > 1").select("_tie"), "mix-repeated")
+    first = held.withColumn("_i", F.lit(0).cast("long"))
+    if again.take(1):
+        place = F.row_number().over(Window.partitionBy("source", "_tie").orderBy(F.xxhash64(F.to_json("_doc")), F.monotonically_increasing_id())) - 1
+        first = held.join(again, "_tie", "left_anti").withColumn("_i", F.lit(0).cast("long")).unionByName(held.join(again, "_tie", "left_semi").withColumn("_i", place.cast("long")).select(*held.columns, "_i"))
+    taken = copies(drawn(first), planned).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

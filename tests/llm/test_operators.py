@@ -382,3 +382,14 @@ def test_mixing_comes_near_its_targets(spark):
         left -= sum(2 * sizes[s] for s in full)
         weights = {s: w for s, w in weights.items() if s not in full}
     assert all(abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= 40 for s in want)
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    """Failed when equal rows were taken all or none: 50 equal rows of 100 words and 50 others of 10, target 8,250."""
+    rows = [(1, "w " * 100, "a", i) for i in range(50)] + [(2 + i, "w " * 10, "a", i) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key int")
+    got = mixing.shares(docs).collect()
+    assert len(got) == 100 and abs(sum(r.taken for r in got) - got[0].target) <= 100
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and abs(sum(len(r.text.split()) for r in mixed.collect()) - 8250) <= 100
+    assert max(Counter((r.doc_id, r._key) for r in mixed.collect()).values()) <= 2
