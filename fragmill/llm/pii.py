@@ -1,12 +1,12 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Entities (e-mail addresses, telephone, card and social security numbers, IPv4 addresses, secrets, names after a title) are found
+Entities (e-mail addresses, telephone, card, account (IBAN) and social security numbers, IPv4 addresses, secrets, up to three names after a title) are found
 by one pattern. Each is replaced by a keyed permutation of all entities of its format: its letters and digits are shifted inside their own
 alphabets (script, case and digits stay) in a Feistel network, whose rounds hash one half to shift the other. A permutation has
 no collisions, so different entities stay different, and equal ones equal, in all documents and without any exchange of data;
 `checked` checks that on the data and fails if it isn't so. Names are replaced word by word: given names change places within a list
 of their gender, other words are permuted until they are none of the list; titles stay. Check digits of
-cards stay as right or wrong as they were; country codes, exchanges and top-level domains stay.
+cards and accounts stay as right or wrong as they were; country codes, exchanges and top-level domains stay.
 
 Defined cases: a null text stays null; a text without entities stays as it is; case and separators don't distinguish entities;
 equal rows get equal texts; other columns are untouched, whatever their names. Secrets of over BLOCK characters are permuted in blocks
@@ -32,8 +32,9 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 SECRET = r"(?<=[=:\s\"'])(?<=(?i:token|secret|key|password)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_/+-]{8,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+"
-NAME = r"(?<=(?<!\p{L})(?:Mr|Mrs|Ms|Herr|Frau|Mme|Señor|Señora)\.?\s)\p{Lu}\p{Ll}{1,30}(?:\s\p{Lu}\p{Ll}{1,30})?"
-KINDS = {"email": EMAIL, "card": CARD, "ssn": SSN, "phone": PHONE, "ip": IP, "secret": SECRET, "name": NAME}
+NAME = r"(?<=(?<!\p{L})(?:Mr|Mrs|Ms|Herr|Frau|Mme|Señor|Señora)\.?\s)\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?(?:\s\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?){0,2}"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"
+KINDS = {"email": EMAIL, "card": CARD, "ssn": SSN, "phone": PHONE, "ip": IP, "secret": SECRET, "name": NAME, "iban": IBAN}
 ENTITY = "|".join(KINDS.values())
 #: The same with the name as its only group.
 NAMED = "|".join(f"({p})" if k == "name" else p for k, p in KINDS.items())
@@ -58,8 +59,9 @@ def _is(k: str):
 def kind(e: Column) -> Column:
     """The kind of an entity by its form. A name of one word that a secret could be is told by `entities`, from where it stands."""
     out = F.lit("name")
-    for name in ("secret", "ip", "phone", "ssn", "card", "email"):
-        body = {"secret": r"[A-Za-z0-9_/+-]{8,}+", "ip": rf"(?:{OCTET}\.){{3}}{OCTET}", "phone": PHONE, "ssn": SSN, "card": CARD, "email": EMAIL}[name]
+    for name in ("secret", "iban", "ip", "phone", "ssn", "card", "email"):
+        # A run of 32 hexadecimal digits or more is a secret, whatever it begins with.
+        body = {"secret": r"[A-Za-z0-9_/+-]{8,}+", "iban": rf"(?![0-9A-F]{{32,}}+$){IBAN}", "ip": rf"(?:{OCTET}\.){{3}}{OCTET}", "phone": PHONE, "ssn": SSN, "card": CARD, "email": EMAIL}[name]
         out = F.when(e.rlike(f"^(?:{body})$"), F.lit(name)).otherwise(out)
     return out
 
@@ -116,6 +118,21 @@ def _card(e: Column, key: str) -> Column:
     return let(new, lambda n: F.concat(F.substring(n, F.lit(1), F.length(n) - 1), F.pmod(last + _check_digit(_digits(n)), F.lit(10)).cast("string")))
 
 
+def _check_number(e: Column) -> Column:
+    """The two check digits that fit an account number without blanks: 98 less the rest by 97 of the number, its country and 00."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) + 9)
+    digits = F.filter(F.split(F.concat(F.substring(e, F.lit(5), F.length(e)), F.substring(e, F.lit(1), F.lit(2)), F.lit("00")), ""), lambda c: c.rlike("[0-9A-Z]"))
+    return 98 - F.aggregate(digits, F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(F.nullif(c, F.lit("")))) % 97)
+
+
+def _iban(e: Column, key: str) -> Column:
+    """Country and grouping stay; check digits stay as far from the right ones as they were."""
+    plain = lambda x: F.regexp_replace(x, " ", "")
+    off = F.substring(e, F.lit(3), F.lit(2)).cast("int") - _check_number(plain(e))
+    new = _permuted(e, key + "iban", lambda i, c: i >= 4)
+    return let(new, lambda n: F.concat(F.substring(n, F.lit(1), F.lit(2)), F.lpad(F.pmod(off + _check_number(plain(n)), F.lit(100)).cast("string"), 2, "0"), F.substring(n, F.lit(5), F.length(n))))
+
+
 def _ip(e: Column, key: str) -> Column:
     octets = F.transform(F.split(e, r"\."), lambda x: x.cast("long"))
 
@@ -145,8 +162,8 @@ def _word(w: Column, key: str) -> Column:
 
 
 def _name(e: Column, key: str) -> Column:
-    blank = F.regexp_extract(e, r"\s", 0)
-    return let(F.transform(F.split(e, r"\s"), lambda w: _word(w, key)), lambda w: F.concat(w[0], F.when(F.size(w) > 1, F.concat(blank, F.get(w, F.lit(1)))).otherwise("")))
+    blanks = F.concat(F.regexp_extract_all(e, F.lit(r"\s"), F.lit(0)), F.array(F.lit("")))
+    return let(F.transform(F.split(e, r"\s"), lambda w: _word(w, key)), lambda w: F.array_join(F.zip_with(w, blanks, lambda a, b: F.concat(a, b)), ""))
 
 
 def _secret(e: Column, key: str) -> Column:
@@ -174,7 +191,7 @@ def surrogate(e: Column, k: Column, key: str = KEY) -> Column:
     digits_after = lambda i: F.length(F.regexp_replace(F.substring(e, i + 1, F.length(e)), "[^0-9]", ""))
     return (
         F.when(k == "email", _permuted(e, key + "email", lambda i, c: i < top))
-        .when(k == "card", _card(e, key)).when(k == "ip", _ip(e, key))
+        .when(k == "card", _card(e, key)).when(k == "ip", _ip(e, key)).when(k == "iban", _iban(e, key))
         # The line and the last two digits of the area.
         .when(k == "phone", _permuted(e, key + "phone", lambda i, c: digits_after(i).isin(1, 2, 3, 4, 8, 9)))
         .when(k == "ssn", _permuted(e, key + "ssn", lambda i, c: F.lit(True)))
@@ -189,7 +206,7 @@ def entities(text: Column, key: str = KEY) -> Column:
 
     def told(found: Column) -> Column:
         # Only a word of eight ASCII letters or more can be a name and a secret: then the group of the name tells.
-        names = F.when(F.exists(found, lambda e: e.rlike("^[A-Z][a-z]{7,30}$")), F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)))
+        names = F.when(F.exists(found, lambda e: e.rlike("^[A-Z][a-z]{7,}$|^[A-Z][a-z]+-[A-Z][a-z]+$")), F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)))
         return let(names, lambda n: F.transform(found, lambda e, i: let(F.when(F.get(n, i) == e, F.lit("name")).otherwise(kind(e)), lambda k: F.struct(k.alias("kind"), e.alias("e"), surrogate(e, k, key).alias("s")))))
 
     return let(found, told)
@@ -209,7 +226,7 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFr
 
 def _plain(c: Column, k: Column) -> Column:
     """An entity apart from case and separators."""
-    return F.when(k.isin("ip", "email", "secret", "name"), F.regexp_replace(F.lower(c), r"\s", " ")).otherwise(F.regexp_replace(c, "[^0-9]", ""))
+    return F.when(k.isin("ip", "email", "secret", "name", "iban"), F.regexp_replace(F.lower(c), r"\s", " ")).otherwise(F.regexp_replace(c, "[^0-9]", ""))
 
 
 def _pairs(found: Column) -> Column:
