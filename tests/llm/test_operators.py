@@ -407,3 +407,13 @@ def test_accounts_and_long_names(spark):
     assert "Anna-Lena" not in hyphen and hyphen.startswith("Frau ") and pii.collisions(df).collect() == []
     kinds = [x.kind for x in df.select(pii.entities(df.text).alias("f")).first().f]
     assert kinds == ["name", "name", "iban", "iban", "iban", "iban", "name"]
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    """Failed when columns _h and _keep were overwritten or ambiguous, and when a map could not be hashed."""
+    rows = [(1, "a b c d e f", "x", 1, {"k": 1}, 5), (2, "a b c d e f", "y", 2, None, 6), (None, None, None, 3, {}, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h string, _keep int, m map<string,int>, h int")
+    got = shingle_join.representatives(docs)
+    assert got.columns == docs.columns
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == 2 and all(r in rows for r in found) and rows[2] in found
