@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, drop, rolling
-from .repeats import WINDOW, applied, keyed, places, recurring
+from .repeats import WINDOW, applied, covered, keyed, places, recurring
 from .shingle_join import word_hashes
 
 PHRASE = 25
@@ -108,20 +108,16 @@ def starts(rows: DataFrame) -> DataFrame:
     return out
 
 
-def _remove(text: str, starts: np.ndarray) -> tuple[int, int, str]:
-    from .repeats import covered
-
+def _remove(text: str, starts: np.ndarray, counts: np.ndarray) -> tuple[int, int, str]:
     words = _encoded(text).split()
-    mask, _ = covered(starts, len(words))
+    mask, _ = covered(starts, counts, len(words))
     kept = b" ".join(w for w, gone in zip(words, mask, strict=True) if not gone) if len(starts) else b" ".join(words)
     return len(words), int(mask.sum()), hashlib.sha256(kept).hexdigest()
 
 
-def _texts(text: str, starts: np.ndarray) -> tuple[int, int, str]:
-    from .repeats import covered
-
+def _texts(text: str, starts: np.ndarray, counts: np.ndarray) -> tuple[int, int, str]:
     words = _encoded(text).split()
-    mask, _ = covered(starts, len(words))
+    mask, _ = covered(starts, counts, len(words))
     return len(words), int(mask.sum()), b" ".join(w for w, gone in zip(words, mask, strict=True) if not gone).decode("utf-8", "surrogatepass")
 
 

@@ -70,24 +70,30 @@ def recurring(rows: DataFrame, symbols: Callable[[str], np.ndarray], k: int, nam
     return out
 
 
-def covered(starts: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-    """(which of n symbols are covered by windows at the starts, number of maximal runs)."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + WINDOW, -1)
+def covered(starts: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """(which of n symbols are covered by the windows at counts places from each start on, number of maximal runs)."""
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(starts + counts + (WINDOW - 1), minlength=n + 1)
     mask = np.cumsum(step[:-1]) > 0
     return mask, int(np.count_nonzero(mask[1:] & ~mask[:-1]) + (mask[0] if n else 0))
 
 
-def applied(rows: DataFrame, removed: DataFrame, remove: Callable[[str, np.ndarray], tuple], schema: str, name: str) -> DataFrame:
-    """Every row through remove(text, starts). removed: a written table (u, starts) of the rows that lose something; only their texts are moved."""
+def _ranges(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, counts) of each row of lists of starts, or of (s, c): c starts from s on."""
+    ends, flat = np.cumsum([0, *column.value_lengths().to_pylist()]), column.flatten()
+    fields = flat.flatten() if pa.types.is_struct(flat.type) else [flat]
+    starts = fields[0].to_numpy(zero_copy_only=False)
+    counts = fields[1].to_numpy(zero_copy_only=False) if len(fields) > 1 else np.ones(len(starts), np.int64)
+    return ((starts[a:b], counts[a:b]) for a, b in zip(ends, ends[1:], strict=False))
+
+
+def applied(rows: DataFrame, removed: DataFrame, remove: Callable[[str, np.ndarray, np.ndarray], tuple], schema: str, name: str) -> DataFrame:
+    """Every row through remove(text, starts, counts). removed: a written table (u, starts; see _ranges) of the rows that lose something; only their texts are moved."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            none = np.empty(0, np.int64)
-            starts = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            out = [remove(t, none if s is None else np.array(s, np.int64)) for t, s in zip(batch.column(2).to_pylist(), starts, strict=True)]
+            starts = _ranges(batch.column(3)) if batch.num_columns > 3 else [(np.empty(0, np.int64),) * 2] * batch.num_rows
+            out = [remove(t, *s) for t, s in zip(batch.column(2).to_pylist(), starts, strict=True)]
             columns = list(zip(*out, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "u": batch.column(1)} | {c: pa.array(x, pa.string() if c.endswith(("256", "kept")) else pa.int64()) for c, x in zip(names, columns, strict=True)})
 

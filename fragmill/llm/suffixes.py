@@ -15,7 +15,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +26,8 @@ ANCHOR = 24
 #: Every residue is a difference of two of COVER, modulo PERIOD.
 PERIOD, COVER = 7, (0, 1, 3)
 OFFSET = [[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)]
-#: Bytes of segments in a block, distinct segments of an anchor, suffixes sorted at once.
-BLOCK, HOT, BUCKET = 4 << 20, 20_000, 1 << 19
+#: Bytes of segments in a block, distinct segments of an anchor, suffixes sorted at once, bytes of segments written at once.
+BLOCK, HOT, BUCKET, BATCH = 4 << 20, 20_000, 1 << 19, 1 << 20
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -75,10 +74,14 @@ def sorted_buckets(text: np.ndarray, places: np.ndarray, most: int = BUCKET) ->
     for b in np.unique(of):
         at = places[of == b]
         key = _packed(words, at)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at, key = at[order], key[order]
-        group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        yield at[_ties(at, group, rank)]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        # Only groups of two or more have ties.
+        tied = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
+        if len(tied):
+            at[tied] = at[tied][_ties(at[tied], np.cumsum(new[tied]), rank)]
+        yield at
 
 
 def _ties(at: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -100,7 +103,7 @@ def _ties(at: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
             if (a, d) in own and (b, d) in own:
                 members, key = own[a, d]
                 before[members] += np.searchsorted(own[b, d][1], key, "left")
-    return np.argsort(before, kind="stable")
+    return np.argsort(before)
 
 
 def first_documents(segments: list[bytes], first: np.ndarray) -> list[np.ndarray]:
@@ -129,27 +132,49 @@ def first_documents(segments: list[bytes], first: np.ndarray) -> list[np.ndarray
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, doc_id, u, anchors) to the segments of the windows that chose one of the anchors."""
+
+    def out(held: list[tuple[np.ndarray, np.ndarray, int, int]], segments: list[bytes]) -> pa.RecordBatch:
+        counts = [len(x[0]) for x in held]
+        columns = {"anchor": np.concatenate([x[0] for x in held]), "doc_id": np.repeat([x[2] for x in held], counts), "u": np.repeat([x[3] for x in held], counts), "start": np.concatenate([x[1] for x in held])}
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()} | {"segment": pa.array(segments, pa.binary())})
+
+    held, segments, size = [], [], 0
     for batch in batches:
-        for text, doc, u, anchors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        lists = batch.column(3)
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().to_pylist()])
+        for i, (text, doc, u) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
             raw = _bytes(text)
             least = least_hashes(raw.astype(U64), ANCHOR).view(np.int64)
             begin = runs_of(least)
             end = np.concatenate((begin[1:], [len(least)]))
-            live = np.isin(least[begin], np.array(anchors, np.int64))
+            live = np.isin(least[begin], flat[ends[i] : ends[i + 1]])
             begin, end = begin[live], end[live]
             data = raw.tobytes()
-            n = len(begin)
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(least[begin]), "doc_id": pa.array(np.full(n, doc)), "u": pa.array(np.full(n, u)), "start": pa.array(begin.astype(np.int64)),
-                                              "segment": pa.array([data[a : b - 1 + WINDOW] for a, b in zip(begin, end, strict=True)], pa.binary())})
-
-
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    got = first_documents(list(rows["segment"]), rows["first"].to_numpy())
-    return pd.DataFrame({"name": rows["name"], "firsts": got})
+            held.append((least[begin], begin, doc, u))
+            segments += [data[a : b - 1 + WINDOW] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            size += int((end - begin).sum()) + WINDOW * len(begin)
+            if size >= BATCH:
+                yield out(held, segments)
+                held, segments, size = [], [], 0
+    if held:
+        yield out(held, segments)
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """The runs of starts of each segment that have the same first document: c of them from i."""
+    got = first_documents(rows["segment"].to_pylist(), rows["first"].to_numpy())
+    flat, ends = np.concatenate([np.empty(0, np.int64), *got]), np.cumsum([0, *map(len, got)])
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    new[ends[:-1]] = True
+    begin = np.flatnonzero(new)
+    own = np.searchsorted(begin, ends)
+    run = {"i": begin - np.repeat(ends[:-1], np.diff(own)), "c": np.diff([*begin, len(flat)]), "first": flat[begin]}
+    runs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in run.values()], list(run))
+    return pa.table({"name": rows["name"].combine_chunks(), "runs": pa.ListArray.from_arrays(pa.array(own, pa.int32()), runs)})
 
 
 def starts(rows: DataFrame) -> DataFrame:
-    """(u, starts): where the 50-byte strings begin that an earlier document has."""
+    """(u, starts): where the 50-byte strings begin that an earlier document has, c of them from s."""
     found = recurring(rows, _symbols, ANCHOR, "suffix")
     own = found.groupBy("u").agg(F.collect_set("anchor").alias("anchors"))
     routed = rows.where("doc_id is not null").join(own, "u").dropDuplicates(["u"]).select("text", "doc_id", "u", "anchors")
@@ -171,19 +196,19 @@ def starts(rows: DataFrame) -> DataFrame:
     name = F.xxhash64("anchor", "segment").alias("name")
     dealt = cold.select(F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block"), name, "segment", "first").unionByName(
         windows.groupBy("anchor", "segment").agg(F.min("first").alias("first")).select(F.pmod(F.xxhash64("segment"), F.lit(blocks)).alias("block"), name, "segment", "first"))
-    firsts = cut(dealt.groupBy("block").applyInPandas(_block, "name long, firsts array<long>"), "firsts")
+    firsts = cut(dealt.groupBy("block").applyInArrow(_block, "name long, runs array<struct<i: long, c: long, first: long>>"), "firsts")
     drop(distinct)
     places, one = split(all_segments)
     held = places.select(name, "doc_id", "u", "start").unionByName(one.select(name, "doc_id", "u", (F.col("start") + F.col("i")).alias("start")))
-    lost = held.join(firsts, "name").select("u", F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("s")).where(F.size("s") > 0)
+    lost = held.join(firsts, "name").select("u", F.transform(F.filter("runs", lambda x: x["first"] < F.col("doc_id")), lambda x: F.struct((F.col("start") + x["i"]).alias("s"), x["c"].alias("c"))).alias("s")).where(F.size("s") > 0)
     out = cut(lost.groupBy("u").agg(F.flatten(F.collect_list("s")).alias("starts")), "starts")
     drop(all_segments, firsts, hot)
     return out
 
 
-def _remove(text: str, starts: np.ndarray) -> tuple[int, int, int, str]:
+def _remove(text: str, starts: np.ndarray, counts: np.ndarray) -> tuple[int, int, int, str]:
     raw = _bytes(text)
-    mask, spans = covered(starts, len(raw))
+    mask, spans = covered(starts, counts, len(raw))
     return len(raw), int(mask.sum()), spans, hashlib.sha256(raw[~mask].tobytes()).hexdigest()
 
 
