@@ -39,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("pii", private), ("mixing", mixed), ("bpe", tokens)]
 
-#: SQL has no form of the tokenizer, the permutation or the components; tests cover the operators, not yet the whole run.
+#: SQL has no form of the tokenizer or the permutation; tests/llm/test_pipeline.py holds run() against brute force, stage by stage.
 ORACLE_SQL = None
 
 
