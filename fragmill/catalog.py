@@ -27,9 +27,9 @@ def _asked(spectra: DataFrame, window: bool = False) -> DataFrame:
     return spectra.where(F.col("row") % EVERY == 0).select(F.col("row").alias("query_id"), F.col("ion_mode").alias("q_mode"), F.col("external_id").alias("exclude_id"), center.alias("pw_center"), F.lit(20.0).alias("pw_tol"))
 
 
-def _hits(spark: SparkSession, sf_dir: str, policy: str = "any", min_matched: int = 1, window: bool = False) -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str, policy: str = "any", min_matched: int = 1, window: bool = False, **limits) -> DataFrame:
     peaks, spectra, q = _library(spark, sf_dir)
-    return search.search(_asked(spectra, window), q, peaks, spectra, policy, min_matched)
+    return search.search(_asked(spectra, window), q, peaks, spectra, policy, min_matched, **limits)
 
 
 def _set(asked: DataFrame, mode: str = "top_k", policy: str = "any", k: int = 10, threshold: float | None = None, min_matched: int = 1) -> DataFrame:
@@ -66,11 +66,11 @@ def _shown(hits: DataFrame, *more: str) -> DataFrame:
 
 
 def _top(**how):
-    return lambda spark, sf_dir: _shown(search.top_k(_hits(spark, sf_dir, **how), 10), "rank")
+    return lambda spark, sf_dir: _shown(search.top_k(_hits(spark, sf_dir, k=10, **how), 10), "rank")
 
 
 def _over(least: float):
-    return lambda spark, sf_dir: _shown(search.threshold(_hits(spark, sf_dir), least))
+    return lambda spark, sf_dir: _shown(search.threshold(_hits(spark, sf_dir, least=least), least))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +109,7 @@ def _leaf_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bound_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a bound is under what it bounds: never."""
     held, q = _index(spark, sf_dir)
-    e = tables.table(search.edges(q, held.peaks), "edges")
-    leaf = search.node_bounds(q, held.leaves, "ion_mode", "tree_id", "leaf_id").withColumnRenamed("bound", "leaf")
-    root = search.node_bounds(q, held.roots, "ion_mode", "tree_id").withColumnRenamed("bound", "root")
-    pairs = search.scores(e).join(search.spectrum_bounds(e), ["query_id", "row"]).join(held.members.select("row", "ion_mode", "tree_id", "leaf_id"), "row")
-    pairs = pairs.join(leaf, ["query_id", "ion_mode", "tree_id", "leaf_id"], "left").join(root, ["query_id", "ion_mode", "tree_id"], "left")
-    bad = lambda a, b: F.count_if(~F.coalesce(F.col(a) <= F.col(b) + 1e-9, F.lit(False)))
-    return pairs.agg(F.count("*").alias("pairs"), bad("score", "bound").alias("score_over_pair"), bad("bound", "leaf").alias("pair_over_leaf"), bad("leaf", "root").alias("leaf_over_root"))
+    return staged.chain(q, held)
 
 
 def _check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,25 +151,32 @@ def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("record_index", "external_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("record_index", "external_id", "reason"))
 
 
-def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entropy(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     p = entropy.weighted(entropy.merged(fixtures.event_peaks(spark, sf_dir), 2 * search.TOLERANCE))
-    return entropy.similarities(p.where(F.col("row") % EVERY == 0).withColumnRenamed("row", "query_id"), p)
+    return entropy.similarities(p.where(F.col("row") % EVERY == 0).withColumnRenamed("row", "query_id"), p, **how)
+
+
+def _others(hits: DataFrame, k: int) -> DataFrame:
+    """The k best but for the query itself, from what may be among the k + 1 best."""
+    return search.top_k(hits.where("query_id <> spectrum_index"), k)
 
 
 def _entropy_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _entropy(spark, sf_dir).where("query_id <> row").join(_library(spark, sf_dir)[1].select("row", "external_id"), "row")
-    return _shown(search.top_k(named.withColumnRenamed("row", "spectrum_index"), 10), "rank")
+    return _shown(_others(_entropy(spark, sf_dir, spectra=_library(spark, sf_dir)[1], k=11), 10), "rank")
 
 
 def _binned_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks, spectra, q = _library(spark, sf_dir)
-    return search.top_k(search.binned(q, peaks).where("query_id <> row").join(spectra.select("row", "external_id"), "row").withColumnRenamed("row", "spectrum_index"), 10)
+    return _others(search.binned(q, peaks, spectra=spectra, k=11), 10)
+
+
+def _paired(df: DataFrame) -> DataFrame:
+    return _rounded(df.select("query_id", F.col("spectrum_index").alias("row"), "score", F.col("n_matched").cast("long").alias("n_matched")), "score")
 
 
 def _both_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks, _, q = _library(spark, sf_dir)
-    other = search.binned(q, peaks).select("query_id", "row", F.col("score").alias("other"), F.col("n_matched").alias("n_other"))
-    return search.scores(search.edges(q, peaks)).join(other, ["query_id", "row"]).withColumns({"score": F.round("score", 9), "other": F.round("other", 9)})
+    return search.both_scores(q, peaks)
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,14 +202,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks, _, q = _library(spark, sf_dir)
-    return _rounded(search.binned(q, peaks), "score")
+    return _paired(search.binned(q, peaks))
 
 
 def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks, _, q = _library(spark, sf_dir)
-    bound = search.spectrum_bounds(search.edges(q, peaks)).select("query_id", "row", (F.col("bound") >= 0.1).alias("said"))
-    exact = search.scores(search.edges(q, peaks)).select("query_id", "row", (F.col("score") >= 0.1).alias("truth"))
-    return _rounded(metrics.confusion(exact.join(bound, ["query_id", "row"]), "truth", "said"), "precision", "recall", "f1", "accuracy")
+    return _rounded(metrics.confusion(search.agreement(q, peaks, 0.1), "truth", "said", "n"), "precision", "recall", "f1", "accuracy")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -258,15 +257,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "peak_counts": lambda s, d: _counted(s, d).select("row", "n_peaks"),
         "spectrum_at": lambda s, d: _rounded(_library(s, d)[0].where("row = 40"), "v", "norm"),
         "entropy_weights": lambda s, d: _rounded(entropy.weighted(entropy.merged(fixtures.event_peaks(s, d), 2 * search.TOLERANCE)), "mass", "v"),
-        "entropy_similarity": lambda s, d: _rounded(_entropy(s, d), "score"),
+        "entropy_similarity": lambda s, d: _paired(_entropy(s, d)),
         "entropy_topk": _entropy_top,
         "stratified_sample": lambda s, d: sample.stratified(_counted(s, d), 60),
         "query_sample": lambda s, d: sample.queries(_counted(s, d), 30),
         "row_slice": lambda s, d: sample.sliced(fixtures.event_spectra(s, d), s.range(200).select(F.col("id").alias("position"), (F.col("id") * 7 % 90).alias("row"))),
         "query_problems": lambda s, d: validate.queries(_library(s, d)[0].withColumn("v", F.when(F.col("row") % 3 == 0, F.col("v") * 2).when(F.col("row") % 3 == 1, -F.col("v")).otherwise(F.col("v"))).withColumnRenamed("row", "query_id")),
         "setting_problems": lambda s, d: validate.settings(_mixed(_library(s, d)[1]).withColumn("k", F.col("k") - 4).withColumn("tolerance", F.col("tolerance") - 0.01)),
-        "pairwise_errors": lambda s, d: _rounded(metrics.pairwise(_both_scores(s, d), "score", "other", "n_matched", "n_other"), "max_error", "mae", "rmse", "p50", "p95", "p99", "match_rate"),
-        "rank_correlation": lambda s, d: _rounded(metrics.correlations(_both_scores(s, d), "score", "other"), "pearson", "spearman"),
+        "pairwise_errors": lambda s, d: _rounded(metrics.pairwise(_both_scores(s, d), "score", "other", "same", "n"), "max_error", "mae", "rmse", "p50", "p95", "p99", "match_rate"),
+        "rank_correlation": lambda s, d: _rounded(metrics.correlations(_both_scores(s, d), "score", "other", "n"), "pearson", "spearman"),
         "hit_overlap": lambda s, d: _rounded(metrics.hit_overlap(_top()(s, d), _binned_hits(s, d)), "recall", "jaccard", "overlap"),
         "outcome_diff": lambda s, d: _rounded(metrics.outcome_diff(_top()(s, d), _shown(_binned_hits(s, d), "rank")), "mean_recall", "max_error", "mean_error", "hit_count_match_rate"),
         "pruning_diff": lambda s, d: _rounded(metrics.outcome_diff(_top()(s, d), _pruned(lambda x: _set(_asked(x)), "rank")(s, d)), "mean_recall", "max_error", "mean_error", "hit_count_match_rate"),

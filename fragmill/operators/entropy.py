@@ -7,10 +7,10 @@ the Jensen-Shannon divergence in bits, a sum over matched peaks alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragmill.operators import search
+from fragmill.operators import search, tiles
 
 
 def merged(peaks: DataFrame, gap: float) -> DataFrame:
@@ -31,13 +31,7 @@ def weighted(peaks: DataFrame) -> DataFrame:
     return p.select("row", "peak_id", "mass", (F.col("x") / F.sum("x").over(own)).alias("v"))
 
 
-def _bits(x: Column) -> Column:
-    return x * F.log2(x)
-
-
-def similarities(query_peaks: DataFrame, peaks: DataFrame, tolerance: float = search.TOLERANCE) -> DataFrame:
-    """query_id, row, score, n_matched of the pairs that share a peak, from weighted peaks."""
-    lib = search.placed(peaks, tolerance)
-    pairs = search.reach(query_peaks, tolerance).join(lib, "cell").where("mass between low and high")
-    gain = (_bits(F.col("u") + F.col("v")) - _bits(F.col("u")) - _bits(F.col("v"))) / 2
-    return pairs.groupBy("query_id", "row").agg(F.least(F.greatest(F.sum(gain), F.lit(0.0)), F.lit(1.0)).alias("score"), F.count("*").alias("n_matched"))
+def similarities(query_peaks: DataFrame, peaks: DataFrame, tolerance: float = search.TOLERANCE, spectra: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """query_id, external_id, spectrum_index, score, n_matched of the pairs that share a peak, from weighted peaks; with k, of all that may be among the k best."""
+    asked = search.unlimited(query_peaks, k)
+    return search.scored(asked, query_peaks, peaks, search.unnamed(peaks) if spectra is None else spectra, lambda q, lib, ok: tiles.entropy(q, lib, tolerance))
