@@ -18,6 +18,7 @@ held in some 30 times its size while its shingles are made.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,8 +36,9 @@ K, LEVEL = 5, 75
 KEYS, TRIES, ROUNDS = 12, 3, 2
 #: Sets of a pair of groups, those that share most, that are compared in each step; at last all.
 LEADING = (8, None)
-#: Counters of the frequency sketch that orders tokens; its size doesn't depend on the corpus.
-SKETCH = 1 << 18
+#: Counters of the frequency sketch that orders tokens, and how many of them go in a row; its size doesn't depend on the corpus.
+#: With far fewer counters than tokens all look alike, prefixes hold common tokens, and pairs of groups grow with the square of those.
+SKETCH, SLICE = 1 << 22, 1 << 16
 MEMO = 1 << 18
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _words: dict[bytes, int] = {}
@@ -91,29 +93,42 @@ def _hashes(key: pa.Array, sets: list[np.ndarray]) -> dict:
 
 
 def _first_pass(texts: DataFrame) -> DataFrame:
-    """doc_id, u, s, n, mins of each row; and for each task a row of n = -1 whose mins are the sketch's counters (place << 32 | count)."""
+    """doc_id, u, s, n, mins of each row; and for each task and SLICE of the sketch a row of n = -1 and doc_id its place, whose counts are the task's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingles(t) for t in part.column(2).to_pylist()]
-                counts += np.bincount((np.concatenate(sets) & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                yield pa.RecordBatch.from_pydict(_named([part.column(0), part.column(1)], sets))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "u": pa.array([None], pa.int64()), "s": pa.array([None], pa.int64()), "n": pa.array([-1], pa.int64()), "mins": _lists([((at << 32) | np.minimum(counts[at], (1 << 32) - 1)).astype(U64)])})
+                np.add.at(counts, (np.concatenate(sets) & U64(SKETCH - 1)).astype(np.int64), 1)
+                yield pa.RecordBatch.from_pydict(_named([part.column(0), part.column(1)], sets) | {"counts": pa.nulls(len(sets), pa.binary())})
+        for place in range(SKETCH // SLICE):
+            part = counts[place * SLICE : (place + 1) * SLICE]
+            if part.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([place], pa.int64()), "u": none, "s": none, "n": pa.array([-1], pa.int64()), "mins": pa.nulls(1, pa.list_(pa.int64())), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
-    return texts.mapInArrow(run, "doc_id long, u long, s long, n long, mins array<long>")
+    return texts.mapInArrow(run, "doc_id long, u long, s long, n long, mins array<long>, counts binary")
 
 
-def _sketch(named: DataFrame) -> np.ndarray:
-    """How common tokens are: the binary logarithm of a hashed count. SKETCH counters, summed by Spark."""
-    each = named.where("n = -1").select(F.explode("mins").alias("x"))
-    rows = each.groupBy(F.shiftright("x", 32).alias("i")).agg(F.sum(F.col("x").bitwiseAND(F.lit((1 << 32) - 1))).alias("n")).toPandas()
-    total = np.zeros(SKETCH)
-    total[rows["i"]] = rows["n"]
-    return np.floor(np.log2(total + 1)).astype(np.uint8)
+def _sketch(passed: DataFrame) -> np.ndarray:
+    """How common tokens are: the binary logarithm of a hashed count, a byte for each of SKETCH counters."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for place, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total.setdefault(place, np.zeros(SLICE, np.int64))
+                total[place] += np.frombuffer(zlib.decompress(part.as_py()), np.uint32)
+        for place, counts in total.items():
+            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "common": pa.array([np.floor(np.log2(counts + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+    rows = passed.where("n = -1").select("doc_id", "counts").repartition("doc_id").mapInArrow(summed, "place long, common binary").collect()
+    out = np.zeros((SKETCH // SLICE, SLICE), np.uint8)
+    for r in rows:
+        out[r.place] = np.frombuffer(r.common, np.uint8)
+    return out.ravel()
 
 
 def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:

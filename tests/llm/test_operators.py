@@ -417,3 +417,13 @@ def test_representatives_keep_columns_of_any_name(spark):
     assert got.columns == docs.columns
     found = [tuple(r) for r in got.collect()]
     assert len(found) == 2 and all(r in rows for r in found) and rows[2] in found
+
+
+def test_sketch_tells_rare_tokens_from_common_ones(spark):
+    """Of 300,000 tokens that are there once, most look so; with fewer counters than tokens they would not."""
+    texts = spark.createDataFrame([(i, i, " ".join(f"{i}w{k}" for k in range(10_000))) for i in range(30)], "id long, u long, text string")
+    passed = shingle_join._first_pass(texts).cache()
+    common = shingle_join._sketch(passed)
+    tokens = np.concatenate([shingle_join.shingles(r.text) for r in texts.collect()])
+    assert (common[(tokens & np.uint64(shingle_join.SKETCH - 1)).astype(np.int64)] == 1).mean() > 0.8
+    assert passed.where("n >= 0").count() == 30
