@@ -216,7 +216,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     group = _groups(of, texts)
 
     held = cut(_prefixes(texts, _sketch(passed)), "prefixes")
-    prefix = held.where("s is not null").select("s", F.explode("prefix").alias("t"))
+    prefix = held.where("s is not null").select("s", F.posexplode("prefix").alias("p", "t"))
     shared = cut(prefix.groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("t"), "shared")
     rows = cut(prefix.join(shared, "t", "left_semi").distinct().join(group, "s"), "rows")
     drop(held, shared)
@@ -225,26 +225,23 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     drop(rows)
 
     members = group.select(F.col("g").alias("h"), F.col("s").alias("m"), F.col("n").alias("nm"))
-    spans = cut(members.groupBy("h").agg(F.min("nm").alias("lo"), F.max("nm").alias("hi"), F.count("*").alias("size")), "spans")
-    cells = matrix.select("t", "g").distinct()
-    near = cells.join(cells.withColumnRenamed("g", "h"), "t").where("g < h").groupBy("g", "h").agg(F.count("*").alias("c"))
-    of_g = spans.select(F.col("h").alias("g"), F.col("lo").alias("lo_g"), F.col("hi").alias("hi_g"))
-    near = near.join(of_g, "g").join(spans, "h").where(F.col("hi") * 100 >= LEVEL * F.col("lo_g")).where(F.col("lo") * LEVEL <= 100 * F.col("hi_g"))
-    corners = [_reach(F.col(a), F.col(b)) for a in ("lo_g", "hi_g") for b in ("lo", "hi")]
-    near_cut = near = cut(near.where(corners[0] | corners[1] | corners[2] | corners[3]).select("g", "h"), "near")
-    sizes = spans.select(F.col("h").alias("x"), "size")
+    sizes = cut(group.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("n")).select(F.col("g").alias("x"), "size", "n"), "sizes")
+    near = cut(_near(matrix), "near")
+    near_cut = near
     # At first the sets of the smaller group are held against the larger one, then the other way about where the union covered one.
     near = near.join(sizes.select(F.col("x").alias("g"), F.col("size").alias("of_g")), "g").join(sizes.select(F.col("x").alias("h"), F.col("size").alias("of_h")), "h")
     back = F.col("of_g") > F.col("of_h")
-    toward = near.select(F.when(back, F.col("h")).otherwise(F.col("g")).alias("g"), F.when(back, F.col("g")).otherwise(F.col("h")).alias("h"), F.greatest("of_g", "of_h").alias("of_h"))
+    toward = near.select(F.when(back, F.col("h")).otherwise(F.col("g")).alias("g"), F.when(back, F.col("g")).otherwise(F.col("h")).alias("h"), F.least("of_g", "of_h").alias("of_g"), F.greatest("of_g", "of_h").alias("of_h"), "c")
 
     def met(pairs: DataFrame) -> DataFrame:
-        """(s, n, g, h, of_h, c): the sets of g that may be linked with h by their shared prefix tokens, for pairs(g, h, of_h)."""
-        left = matrix.join(pairs.select("g").distinct(), "g", "left_semi")
-        right = cells.withColumnRenamed("g", "h").join(pairs.select("h").distinct(), "h", "left_semi")
-        counted = left.join(right, "t").join(pairs, ["g", "h"]).groupBy("s", "n", "g", "h", "of_h").agg(F.count("*").alias("c")).join(spans.select("h", "lo", "hi"), "h")
-        fits = (F.col("hi") * 100 >= LEVEL * F.col("n")) & (F.col("lo") * LEVEL <= 100 * F.col("n"))
-        return cut(counted.where(fits & (_reach(F.col("n"), F.col("lo")) | _reach(F.col("n"), F.col("hi")))).select("s", "n", "g", "h", "of_h", "c"), "met")
+        """(s, n, g, h, of_h, c): the sets of g that may be linked with h by their shared prefix tokens, for pairs(g, h, of_g, of_h, c); of a single set those are counted already."""
+        alone = pairs.where("of_g = 1").join(sizes.select(F.col("x").alias("g"), "n"), "g").select(F.col("g").alias("s"), "n", "g", "h", "of_h", "c")
+        pairs = pairs.where("of_g > 1").select("g", "h", "of_h")
+        left = _celled(matrix.join(pairs.select("g").distinct(), "g", "left_semi"), "s", "n")
+        right = _celled(matrix.join(pairs.select(F.col("h").alias("g")).distinct(), "g", "left_semi")).select("t", F.col("g").alias("h"), *[F.col(c).alias(c + "_h") for c in CELL])
+        counted = left.join(right, "t").where(_room(*CELL, *[c + "_h" for c in CELL])).join(pairs, ["g", "h"])
+        counted = counted.groupBy("s", "n", "g", "h", "of_h", "band_h").agg(F.count("*").alias("c"), F.min("nlo_h").alias("lo"), F.max("nhi_h").alias("hi"))
+        return cut(alone.unionByName(counted.where(_reach(F.col("n"), F.col("lo")) | _reach(F.col("n"), F.col("hi"))).groupBy("s", "n", "g", "h", "of_h").agg(F.max("c").alias("c"))), "met")
 
     def covered(rows: DataFrame) -> DataFrame:
         """Those whose group's union of tokens covers enough of the set; that of a single set is the set, which the full comparison holds against others."""
@@ -253,9 +250,11 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
 
     there = covered(met(toward))
     there = cut(there, "there")
-    open_pairs = there.select(F.col("g").alias("h"), F.col("h").alias("g")).distinct().join(sizes.select(F.col("x").alias("h"), F.col("size").alias("of_h")), "h")
+    # The tokens that a group shares with a single set are the set's; those of two single sets are the same either way.
+    back_c = there.groupBy(F.col("g").alias("h"), F.col("h").alias("g"), F.col("of_h").alias("of_g")).agg(F.max("c").alias("c"))
+    open_pairs = back_c.join(sizes.select(F.col("x").alias("h"), F.col("size").alias("of_h")), "h").select("g", "h", "of_g", "of_h", "c")
     asked = cut(there.unionByName(covered(met(open_pairs))).select("s", "n", "g", "h", "c"), "asked")
-    drop(there, matrix, near_cut, spans)
+    drop(there, matrix, near_cut, sizes)
     second = _between(asked, texts, of)
 
     links = group.select(F.col("s").alias("a"), F.col("g").alias("b")).union(second)
@@ -268,6 +267,47 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+#: What a cell of the matrix has besides token and group: the size band of its sets, the range of their sizes and that of the token's places in their prefixes.
+CELL = ("band", "nlo", "nhi", "plo", "phi")
+
+
+def _celled(matrix: DataFrame, *by: str) -> DataFrame:
+    """t, g, *by, CELL: a cell for each token, group and size band (and `by`) of matrix(s, p, t, n, g).
+
+    Sizes of linked sets are within 4 / 3, so their bands, powers of 1.34, are the same or neighbours.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(1.34))).cast("int")
+    of = [f(c).alias(name) for name, f, c in (("nlo", F.min, "n"), ("nhi", F.max, "n"), ("plo", F.min, "p"), ("phi", F.max, "p"))]
+    return matrix.withColumn("band", band).groupBy("t", "g", "band", *by).agg(*of)
+
+
+def _room(band: str, nlo: str, nhi: str, plo: str, phi: str, band_h: str, nlo_h: str, nhi_h: str, plo_h: str, phi_h: str) -> Column:
+    """Whether a link may share the token of two cells.
+
+    Sets of n and m tokens that have it at places p <= q share at most p tokens before it, and m - q from there on: at most m - (q - p), and
+    at most n. All tokens that linked sets share pass, so their count stays what it is.
+    """
+    a, b = F.col(nhi), F.col(nhi_h)
+    most = F.least(a, b, b - (F.col(plo_h) - F.col(phi)), a - (F.col(plo) - F.col(phi_h)))
+    return 175 * most >= LEVEL * (F.col(nlo) + F.col(nlo_h))
+
+
+def _near(matrix: DataFrame) -> DataFrame:
+    """(g, h, c): pairs of groups, g < h, that may be linked, and the most prefix tokens that a set of one shares with sets of one size band of the other.
+
+    Cells meet by token and size band, so sets too different in size never do, however common the token.
+    """
+    cells = _celled(matrix)
+    left = cells.withColumn("k", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    right = cells.select("t", F.col("g").alias("h"), F.col("band").alias("k"), *[F.col(c).alias(c + "_h") for c in CELL])
+    once = F.when(F.col("band") == F.col("band_h"), F.col("g") < F.col("h")).otherwise(F.col("g") != F.col("h"))
+    both = left.join(right, ["t", "k"]).where(once & _room(*CELL, *[c + "_h" for c in CELL]))
+    both = both.groupBy("g", "h", "band", "band_h").agg(F.count("*").alias("c"), *[f(c).alias(c) for c, f in (("nlo", F.min), ("nhi", F.max), ("nlo_h", F.min), ("nhi_h", F.max))])
+    corners = [_reach(F.col(a), F.col(b)) for a in ("nlo", "nhi") for b in ("nlo_h", "nhi_h")]
+    kept = both.where(corners[0] | corners[1] | corners[2] | corners[3])
+    return kept.groupBy(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).agg(F.max("c").alias("c"))
+
+
 def _reach(n: Column, m: Column) -> Column:
     """Whether c shared prefix tokens leave room for enough shared ones between sets of n and m tokens.
 

@@ -427,3 +427,35 @@ def test_sketch_tells_rare_tokens_from_common_ones(spark):
     tokens = np.concatenate([shingle_join.shingles(r.text) for r in texts.collect()])
     assert (common[(tokens & np.uint64(shingle_join.SKETCH - 1)).astype(np.int64)] == 1).mean() > 0.8
     assert passed.where("n >= 0").count() == 30
+
+
+def test_shingle_join_candidates(spark):
+    """Sets too different in size, or with the token at places too far apart, don't meet, however common the token; and no link is lost."""
+    rng = np.random.default_rng(9)
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = []
+    for i in range(40):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(10, 200)))]
+        texts.append(" ".join(own) + " " + common)
+        for j in range(i % 4):
+            edited = list(own)
+            for at in rng.integers(0, len(own), 1 + j * len(own) // 40):
+                edited[at] = f"e{i}{j}"
+            texts.append(" ".join(edited[: len(own) - 2 * j]) + " " + common)
+    sets = [set(shingle_join.shingles(t).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = shingle_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), label[i]) for i in range(len(texts))}
+    assert len(set(label)) < len(texts) - 20
+
+    schema = "s long, p int, t long, n long, g long"
+    # All hold the same eleven tokens: in sets of 20, 40, 80 ... tokens, no two within 4 / 3; or in three of 100, at places 0, 14 and 15 on.
+    sizes = [(k, t, t, 20 << k, k) for k in range(9) for t in range(11)]
+    assert shingle_join._near(spark.createDataFrame(sizes, schema)).count() == 0
+    places = [(k, first + t, t, 100, k) for k, first in enumerate((0, 14, 15)) for t in range(11)]
+    assert sorted(map(tuple, shingle_join._near(spark.createDataFrame(places, schema)).collect())) == [(0, 1, 11), (1, 2, 11)]
